@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from tidemill.llm import op1_substring_dedup as op1
+from tidemill.llm import op2_license_scan as op2
+from tidemill.llm import op4_simhash as op4
+from tidemill.llm import op5_decontaminate as op5
 
-MODULES = (op1,)
+MODULES = (op1, op2, op4, op5)
 
 
 def queries() -> dict[str, Callable]:
