@@ -21,6 +21,8 @@ files and no rows. Extra columns are ignored. Texts are never cut.
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable
@@ -34,36 +36,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, new_path, table, tune
+from tidemill.llm._spark import column, new_path, slices, table, tune
 
 END_ID = 2
 _INDEX, _SEEK, _FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Distinct runs of characters whose ids a worker remembers.
 REMEMBER = 600_000
+#: Letters and marks whose runs the pre-tokenizer takes as one word, in lower case too. No apostrophe, and
+#: no "<", which special tokens start with.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "!-&(-/:;=-@\\[-`{-~"
+PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+")
+RUNS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
 
 
 class Encoder:
-    """Ids of whole texts as bytes, from the library's ids of their parts between white space."""
+    """Ids of whole texts as bytes, from the library's ids of their parts between white space.
+
+    A part of plain letters and marks is cut further, into lower-cased runs each of which is one word of the
+    vocabulary's pre-tokenizer: new runs go to the library many at a time, and its ids are cut apart where
+    a token ends a word. Any other part goes to the library as it is.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        parts = (text or "").encode().split()
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            new = list({p for p in parts if p not in known})
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            found = {p: np.array(g.ids, self.kind).tobytes() for p, g in zip(new, got, strict=True)}
+        vocab = self.tokenizer.get_vocab()
+        size = max(vocab.values()) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.parts: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _ask(self, runs: list[str]) -> None:
+        """Learn runs that are one word each."""
+        groups = [runs[i : i + 500] for i in range(0, len(runs), 500)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.kind)
+            cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
+            raw = ids.tobytes()
+            self.runs.update((x, raw[a:b]) for x, a, b in zip(group, cut[:-1], cut[1:], strict=True))
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        plain, other = {}, []
+        for p in new:
+            text = p.decode()
+            if PLAIN.fullmatch(text):
+                plain[p] = RUNS.findall(text.lower())
+            else:
+                other.append((p, text))
+        self._ask(list({r for x in plain.values() for r in x if r not in self.runs}))
+        runs = self.runs
+        found = {p: b"".join([runs[r] for r in x]) for p, x in plain.items()}
+        for (p, _), got in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
+            found[p] = np.array(got.ids, self.kind).tobytes()
+        if len(runs) > REMEMBER // 2:
+            runs.clear()
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [(t or "").encode().split() for t in texts]
+        known = self.parts
+        new = {p for x in cut for p in x if p not in known}
+        if new:
+            found = self._learn(new)
             if len(known) < REMEMBER:
                 known.update(found)
-            return b"".join([found[p] if p in found else known[p] for p in parts])
+            else:
+                get = known.get
+                return [b"".join([get(p) or found[p] for p in x]) for x in cut]
+        return [b"".join([known[p] for p in x]) for x in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -157,24 +201,25 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
     tune(docs.sparkSession)
 
     def run(batches):
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         enc, out, fs, name, tmp, stream = _encoder(tokenizer), None, None, "", "", None
         end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             if out is None:
                 fs, base = _store(folder)
                 fs.create_dir(base, recursive=True)
-                name = f"{base}/part-{part:06d}.tok"
+                name = f"{base}/part-{task:06d}.tok"
                 tmp = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
                 stream = fs.open_output_stream(tmp)
                 out = Writer(stream, enc.kind)
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                out.add(doc_id, enc.encode(text) + end)
+            for part in slices(batch, "text"):
+                for doc_id, raw in zip(column(part, "doc_id").to_pylist(), enc.encode(column(part, "text").to_pylist()), strict=True):
+                    out.add(doc_id, raw + end)
         if out is not None:
             out.close()
             stream.close()
             fs.move(tmp, name)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/part-{part:06d}.tok"]), pa.array([len(out.ids)], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "path", "documents", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([f"{folder}/part-{task:06d}.tok"]), pa.array([len(out.ids)], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "path", "documents", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
