@@ -29,6 +29,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -96,18 +97,26 @@ class Encoder:
             runs.clear()
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode().split() for t in texts]
-        known = self.parts
-        new = {p for x in cut for p in x if p not in known}
-        if new:
-            found = self._learn(new)
-            if len(known) < REMEMBER:
-                known.update(found)
-            else:
-                get = known.get
-                return [b"".join([get(p) or found[p] for p in x]) for x in cut]
-        return [b"".join([known[p] for p in x]) for x in cut]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts one after the other, and where each text's ids start and end."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        told = cut.flatten().dictionary_encode()
+        parts = told.dictionary.cast(pa.binary()).to_pylist()
+        got = list(map(self.parts.get, parts))
+        if None in got:
+            found = self._learn({p for p, g in zip(parts, got, strict=True) if g is None})
+            if len(self.parts) < REMEMBER:
+                self.parts.update(found)
+            got = [found[p] if g is None else g for p, g in zip(parts, got, strict=True)]
+        flat = np.frombuffer(b"".join(got), self.kind)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        which = told.indices.to_numpy()
+        each = size[which]
+        at = np.concatenate([[0], np.cumsum(each)])
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        ids = flat[np.repeat(first[which] - at[:-1], each) + np.arange(at[-1])]
+        rows = cut.offsets.to_numpy().astype(np.int64)
+        return ids, at[rows - rows[0]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -213,8 +222,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                 stream = fs.open_output_stream(tmp)
                 out = Writer(stream, enc.kind)
             for part in slices(batch, "text"):
-                for doc_id, raw in zip(column(part, "doc_id").to_pylist(), enc.encode(column(part, "text").to_pylist()), strict=True):
-                    out.add(doc_id, raw + end)
+                ids, at = enc.encode(column(part, "text"))
+                raw, step = ids.tobytes(), enc.kind.itemsize
+                for doc_id, a, b in zip(column(part, "doc_id").to_pylist(), (at[:-1] * step).tolist(), (at[1:] * step).tolist(), strict=True):
+                    out.add(doc_id, raw[a:b] + end)
         if out is not None:
             out.close()
             stream.close()
