@@ -12,9 +12,10 @@ from tidemill.llm import op4_simhash as op4
 from tidemill.llm import op5_decontaminate as op5
 from tidemill.llm import op6_token_file as op6
 from tidemill.llm import op7_language_id as op7
+from tidemill.llm import op8_lm_score as op8
 from tidemill.llm import op9_bpe as op9
 
-MODULES = (op1, op2, op3, op4, op5, op6, op7, op9, op10)
+MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10)
 
 
 def queries() -> dict[str, Callable]:
