@@ -18,6 +18,7 @@ is null). Repeated rows are kept. Extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -125,7 +126,7 @@ def _names(bits: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id and the fingerprint's words f0, f1, ... (as signed 64-bit numbers)."""
+    """doc_id, rid (hash of the text) and the fingerprint's words f0, f1, ... (as signed 64-bit numbers)."""
     tune(docs.sparkSession)
     names = _names(bits)
 
@@ -133,9 +134,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> D
         for batch in batches:
             got = [fingerprint(t, shingle, bits) for t in column(batch, "text").to_pylist()]
             cols = [pa.array(np.array([g[i] for g in got], np.uint64).view(np.int64)) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *cols], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rid"), *cols], names=["doc_id", "rid", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, rid long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _keys(bits: int):
@@ -222,7 +224,7 @@ def _link(bits: int, most: int, short: int = 12):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, most: int = DISTANCE) -> DataFrame:
-    """doc_id, the fingerprint's words f0, ..., and component_id: the smallest doc_id reachable over links.
+    """doc_id, rid, the fingerprint's words f0, ..., and component_id: the smallest doc_id reachable over links.
 
     With 64 bits every link of at most four bits is found. With more bits the ring of segment pairs finds
     every link of a few bits and, of those up to ``most``, a share that falls with the distance.
@@ -242,7 +244,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, m
     roots = scratch.put("roots", roots)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.put("classes", roots.join(least, "root").select(*names, "component_id"))
-    return found.join(classes, names).select("doc_id", *names, "component_id")
+    return found.join(classes, names).select("doc_id", "rid", *names, "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 128, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, with one row of each group of near duplicates: that of the smallest doc_id
+    (of one doc_id's rows, that with the smallest hash of the text; rows without an id only among themselves).
+
+    Two documents link if the similarity of their word shingles (Jaccard) that their fingerprints tell is
+    ``similarity`` or more: for sets of like size the cosine is 2J / (1 + J), and a share angle / pi of the
+    bits is expected to differ.
+    """
+    most = round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.5)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.put("found", near_duplicates(docs, shingle, bits, most).select("doc_id", "rid", "component_id"))
+    stay = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("rid").alias("_rid"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_rid"))
+    once = docs.join(stay, same, "left_semi")
+    return once.dropDuplicates(["doc_id", "text"])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
