@@ -32,6 +32,8 @@ SAMPLE, LANDMARKS, RIDGE, SHARP = 150, 240, 1e-3, 6.0
 UNKNOWN = "und"
 FOLDS = 5
 _ROWS = 256
+#: Bytes of text whose n-grams are coded at once.
+_AT_ONCE = 1 << 20
 
 
 def presence(col: pa.Array) -> dict[int, np.ndarray]:
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _AT_ONCE):
                 for a in range(0, part.num_rows, _ROWS):
                     some = part.slice(a, _ROWS)
                     bits = [np.packbits(x.astype(bool), axis=1) for x in presence(column(some, "text")).values()]
@@ -162,7 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _AT_ONCE):
                 names, score = known.value.predict(column(part, "text"))
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -177,7 +179,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _AT_ONCE):
                 names, score = known.value.predict(column(part, "text"))
                 yield part.filter(pa.array([g != UNKNOWN and s >= least for g, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
 

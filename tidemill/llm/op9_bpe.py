@@ -35,7 +35,7 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 RUNS = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 SHORT = 64
 #: Runs whose ids a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 500_000
 _NONE = 1 << 60
 
 
@@ -148,11 +148,12 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with an array column ``ids``."""
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The rows with an array column ``ids`` and, if named, what those ids decode to in the same pass."""
     tune(docs.sparkSession)
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     names = docs.columns
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches):
         bpe = load(tokenizer)
@@ -161,10 +162,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
                 raw = [bpe.encode(t) for t in column(part, text).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
-                got = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*names, ids])
+                got = [pa.ListArray.from_arrays(pa.array(offsets), values)]
+                if decoded:
+                    got.append(pa.array([bpe.decode(np.frombuffer(r, "<i4").tolist()) for r in raw], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *got], names=[*names, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *more]))
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -188,7 +191,7 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "de
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = decode(encode(rows, tokenizer).drop("text"), tokenizer)
+    found = encode(rows, tokenizer, decoded="decoded").drop("text")
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
