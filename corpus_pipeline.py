@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = op9_bpe.decode(op9_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    found = op9_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded="decoded")
     return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
