@@ -68,7 +68,7 @@ def empty_if_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """Cut a batch into runs of rows of about ``most`` bytes of text, one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
     total = col.nbytes

@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, m
     root = components(scratch, edges)
     roots = nodes.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = scratch.put("roots", roots)
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = scratch.put("least", roots.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = scratch.put("classes", roots.join(least, "root").select(*names, "component_id"))
     return found.join(classes, names).select("doc_id", "rid", *names, "component_id")
 

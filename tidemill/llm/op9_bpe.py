@@ -35,7 +35,7 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 RUNS = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 SHORT = 64
 #: Runs whose ids a worker remembers.
-REMEMBER = 500_000
+REMEMBER = 300_000
 _NONE = 1 << 60
 
 
