@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.storage import delete, new_path
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
@@ -22,28 +17,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where that is unset and the master is local."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        atexit.register(shutil.rmtree, path[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Scratch:
     """Tables written in the shared folder, which cut lineage and outlive a lost executor."""
 
@@ -64,10 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def empty_if_null(text: str = "text") -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
-
-
 def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """Cut a batch into runs of rows of about ``most`` bytes of text, one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -90,10 +59,3 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def local_path(uri: str) -> str | None:
-    """The path of a ``file:`` URI or of a bare path; None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith(os.sep) else None
