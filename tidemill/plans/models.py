@@ -81,13 +81,16 @@ class Models:
 
     @cached_property
     def customer_metrics(self) -> DataFrame:
+        """Lines are grouped by the customer's key alone; its attributes, one row a key, join the result."""
         s, as_of = self.settings, F.lit(self.settings.as_of)
-        keys = ["customer_key", "customer_id", "customer_name", "customer_email", "customer_segment", "customer_tier", "registration_date"]
-        m = self.orders_enriched.groupBy(*keys).agg(
-            _n("order_id").alias("total_orders"), _n("date").alias("unique_order_days"), F.min("date").alias("first_order_date"), F.max("date").alias("last_order_date"),
+        lines = self.stg_orders.select("customer_key", "order_id", "order_date", "line_total", "profit_amount", "profit_margin_pct", "product_key")
+        m = lines.join(self.stg_products.select("product_key", "category_name"), "product_key", "left").groupBy("customer_key").agg(
+            _n("order_id").alias("total_orders"), _n("order_date").alias("unique_order_days"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
             _sum("line_total").alias("lifetime_value"), _sum("profit_amount").alias("lifetime_profit"), mean("line_total").alias("avg_order_value"),
             F.round(F.avg("profit_margin_pct"), 6).alias("avg_profit_margin"), _n("product_key").alias("unique_products_purchased"), _n("category_name").alias("unique_categories"),
         )
+        c = self.stg_customers.select("customer_key", "customer_id", F.col("full_name").alias("customer_name"), F.col("email").alias("customer_email"), F.col("segment").alias("customer_segment"), F.col("tier").alias("customer_tier"), "registration_date")
+        m = m.join(c, "customer_key", "left")
         m = m.withColumns({"customer_tenure_days": F.datediff("last_order_date", "first_order_date"), "days_since_last_order": F.datediff(as_of, "last_order_date")})
         m = m.withColumns({
             "recency_score": ladder(F.col("days_since_last_order"), RECENCY, 1, above=False), "frequency_score": ladder(F.col("total_orders"), FREQUENCY, 1),
@@ -97,41 +100,45 @@ class Models:
 
     @cached_property
     def product_metrics(self) -> DataFrame:
-        keys = ["product_key", "product_name", "sku", "category_name", "category_path", "margin_category", "current_product_price", "current_product_cost"]
-        return self.orders_enriched.groupBy(*keys).agg(
+        m = self.stg_orders.groupBy("product_key").agg(
             _n("order_id").alias("times_ordered"), F.sum("quantity").alias("total_units_sold"), _sum("line_total").alias("total_revenue"), _sum("profit_amount").alias("total_profit"),
             F.round(F.avg("profit_margin_pct"), 6).alias("avg_margin_pct"), _n("customer_key").alias("unique_customers"), F.round(F.avg("effective_unit_price"), 6).alias("avg_selling_price"),
             mean("discount_percent").alias("avg_discount_pct"), F.max("effective_unit_price").alias("max_selling_price"), F.min("effective_unit_price").alias("min_selling_price"),
-            F.min("date").alias("first_sale_date"), F.max("date").alias("last_sale_date"),
+            F.min("order_date").alias("first_sale_date"), F.max("order_date").alias("last_sale_date"),
         )
+        p = self.stg_products.select("product_key", "product_name", "sku", "category_name", "category_path", "margin_category", F.col("price").alias("current_product_price"), F.col("cost").alias("current_product_cost"))
+        return m.join(p, "product_key", "left")
 
     # ---- marts ----
 
     def sales_daily_of(self, orders: DataFrame) -> DataFrame:
-        """Day grain; no order spans two days."""
-        day = ["date_key", "date", "year", "month", "quarter", "year_month", "year_quarter", "is_weekend", "is_holiday"]
+        """Day grain of some staged lines. They are grouped by the day's key alone, with the customer's tier
+        as all they need of other tables; the calendar, one row a day, joins the result."""
         vip, paid = F.col("customer_tier") == "VIP", lambda x: F.when(F.col("payment_method") == x, F.col("order_id"))
-        return orders.groupBy(*day).agg(
+        tier = self.stg_customers.select("customer_key", F.col("tier").alias("customer_tier"))
+        m = orders.join(tier, "customer_key", "left").groupBy("date_key").agg(
             _n("order_id").alias("total_orders"), _n("customer_key").alias("unique_customers"), _n("product_key").alias("unique_products"), _sum("line_total").alias("total_revenue"),
             _sum("gross_amount").alias("total_gross_revenue"), _sum("discount_amount").alias("total_discounts"), _sum("profit_amount").alias("total_profit"), F.sum("quantity").alias("total_quantity"),
             mean("quantity").alias("avg_items_per_order"), mean("line_total").alias("avg_order_value"), F.round(F.avg("profit_margin_pct"), 6).alias("avg_profit_margin"),
             _n(F.when(vip, F.col("customer_key"))).alias("vip_customers"), money(F.sum(F.when(vip, F.col("line_total")).otherwise(F.lit(0).cast("decimal(12,2)")))).alias("vip_revenue"),
             *(_n(paid(x)).alias(f"{x}_orders") for x in ("credit_card", "debit_card", "paypal")),
-        ).withColumns({
+        )
+        d = self.stg_dates.select("date_key", "date", "year", "month", "quarter", "year_month", "year_quarter", "is_weekend", "is_holiday")
+        return m.join(d, "date_key", "left").withColumns({
             "day_type": F.when(F.col("is_weekend") == 1, "Weekend").otherwise("Weekday"),
             "day_category": F.when(F.col("is_holiday") == 1, "Holiday").when(F.col("is_weekend") == 1, "Weekend").otherwise("Regular"),
         })
 
     @cached_property
     def sales_daily(self) -> DataFrame:
-        return self.sales_daily_of(self.orders_enriched)
+        return self.sales_daily_of(self.stg_orders)
 
     def sales_daily_since(self, loaded_to: int | None, lookback_days: int = 0) -> DataFrame:
         """Days after the last loaded one; with a lookback also that many days before it, to be replaced."""
         if loaded_to is None:
             return self.sales_daily
         after = F.date_format(F.date_sub(F.to_date(F.lit(str(loaded_to)), "yyyyMMdd"), lookback_days), "yyyyMMdd").cast("int")
-        return self.sales_daily_of(self.orders_enriched.where(F.col("date_key") > after))
+        return self.sales_daily_of(self.stg_orders.where(F.col("date_key") > after))
 
     @cached_property
     def customer_enriched(self) -> DataFrame:
@@ -165,18 +172,18 @@ class Models:
         m = self.sales_daily.groupBy(*keys).agg(
             _sum("total_revenue").alias("revenue"), _sum("total_gross_revenue").alias("gross_revenue"), _sum("total_discounts").alias("discounts"), _sum("total_profit").alias("gross_profit"),
             total("total_orders").alias("orders"), total("total_quantity").alias("units_sold"), total("unique_customers").alias("unique_customers"),
-            F.round(F.avg("avg_order_value"), 4).alias("avg_order_value"), F.round(F.avg("avg_profit_margin"), 5).alias("avg_profit_margin"), total("vip_customers").alias("vip_customers"),
+            F.round(F.avg("avg_order_value"), 4).alias("avg_order_value"), mean(F.col("avg_profit_margin").cast("decimal(18,6)")).alias("avg_profit_margin"), total("vip_customers").alias("vip_customers"),
             _sum("vip_revenue").alias("vip_revenue"), *(total(f"{x}_orders").alias(f"{x}_orders") for x in ("credit_card", "debit_card", "paypal")),
         )
         m = m.withColumns({"gross_margin_pct": ratio(F.col("gross_profit"), F.col("revenue")), "discount_rate": ratio(F.col("discounts"), F.col("gross_revenue")), "vip_revenue_pct": ratio(F.col("vip_revenue"), F.col("revenue"))})
         order = Window.orderBy("year_month")  # one row per month: small, whatever the fact table's size
         m = m.withColumns({"revenue_mom_change": money(F.col("revenue") - F.lag("revenue").over(order)), "orders_mom_change": F.col("orders") - F.lag("orders").over(order)})
-        true = self.orders_enriched.groupBy("year_month").agg(_n("customer_key").alias("distinct_customers"))
+        true = self.stg_orders.groupBy(F.date_format("order_date", "yyyy-MM").alias("year_month")).agg(_n("customer_key").alias("distinct_customers"))
         return m.join(true, "year_month")
 
     @cached_property
     def customer_cohort(self) -> DataFrame:
-        o = self.orders_enriched.select("customer_key", "order_id", "line_total", "date")
+        o = self.stg_orders.select("customer_key", "order_id", "line_total", F.col("order_date").alias("date"))
         first = o.groupBy("customer_key").agg(month_start(F.min("date")).alias("cohort_month"))
         sizes = first.groupBy("cohort_month").agg(F.count("*").alias("cohort_size"))
         # Lines come down to one row per customer, month and order before they meet the cohorts.
@@ -204,7 +211,8 @@ class Models:
         """Pairs of products (or of another attribute of theirs) ordered together. Each order's distinct keys
         are paired within the order alone, so the join grows with lines per order, not with the table."""
         category = category or key
-        o = self.orders_enriched.select("order_id", F.col(key).alias("k"), F.col(category).alias("c")).distinct()
+        p = self.stg_products.select("product_key", F.col(key).alias("k"), F.col(category).alias("c"))
+        o = self.stg_orders.select("order_id", "product_key").join(p, "product_key").select("order_id", "k", "c").distinct()
         b = o.select("order_id", F.col("k").alias("k2"), F.col("c").alias("c2"))
         pairs = o.join(b, "order_id").where("k < k2").groupBy(F.col("k").alias("a_key"), F.col("c").alias("a_category"), F.col("k2").alias("b_key"), F.col("c2").alias("b_category"))
         pairs = pairs.agg(F.count("*").alias("co_occurrence_count")).where(F.col("co_occurrence_count") >= self.settings.pair_orders)
@@ -234,14 +242,16 @@ class Models:
 
     @cached_property
     def monthly_product(self) -> DataFrame:
-        o = self.orders_enriched.withColumn("month_start", month_start("date"))
+        o = self.stg_orders.withColumn("month_start", month_start("order_date"))
         returned = F.sum((F.col("order_status") == "P").cast("bigint"))
-        return o.groupBy("month_start", "product_key", "product_name", "category_name").agg(
+        out = o.groupBy("month_start", "product_key").agg(
             F.sum("quantity").alias("units_sold"), _sum("line_total").alias("revenue"), _sum("cost_amount").alias("cost"), _sum("profit_amount").alias("profit"),
             ratio(F.sum("line_total"), F.sum("quantity")).alias("avg_selling_price"), mean("discount_percent").alias("discount_rate"), ratio(returned, F.count("*")).alias("open_rate"),
         )
+        return out.join(self.stg_products.select("product_key", "product_name", "category_name"), "product_key", "left")
 
     @cached_property
     def vendor_performance(self) -> DataFrame:
-        o = self.orders_enriched.withColumn("month_start", month_start("date"))
-        return o.groupBy("month_start", "vendor_key", "vendor_name").agg(_n("order_id").alias("total_orders"), _sum("line_total").alias("total_revenue"), _sum("cost_amount").alias("total_cost"), _sum("profit_amount").alias("total_profit"), _n("product_key").alias("unique_products"))
+        o = self.stg_orders.withColumn("month_start", month_start("order_date"))
+        out = o.groupBy("month_start", "vendor_key").agg(_n("order_id").alias("total_orders"), _sum("line_total").alias("total_revenue"), _sum("cost_amount").alias("total_cost"), _sum("profit_amount").alias("total_profit"), _n("product_key").alias("unique_products"))
+        return out.join(self.star.dim_vendor.select("vendor_key", F.col("name").alias("vendor_name")), "vendor_key", "left")
