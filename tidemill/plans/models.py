@@ -38,6 +38,15 @@ def _sum(c: str | Column) -> Column:
     return money(F.sum(c))
 
 
+def _parts(*cols: str) -> list[Column]:
+    """Sum and count of each column, to be summed again by ``_sum``, ``F.sum`` and ``_mean``."""
+    return [x for c in cols for x in (F.sum(c).alias(c), F.count(c).alias(f"n_{c}"))]
+
+
+def _mean(c: str) -> Column:
+    return F.try_divide(F.sum(c).cast("double"), F.sum(f"n_{c}").cast("double"))
+
+
 @dataclass
 class Models:
     star: Star
@@ -81,14 +90,17 @@ class Models:
 
     @cached_property
     def customer_metrics(self) -> DataFrame:
-        """Lines are grouped by the customer's key alone; its attributes, one row a key, join the result."""
+        """Lines come down to orders, orders to customers; attributes, one row a key, join the result."""
         s, as_of = self.settings, F.lit(self.settings.as_of)
         lines = self.stg_orders.select("customer_key", "order_id", "order_date", "line_total", "profit_amount", "profit_margin_pct", "product_key")
-        m = lines.join(self.stg_products.select("product_key", "category_name"), "product_key", "left").groupBy("customer_key").agg(
-            _n("order_id").alias("total_orders"), _n("order_date").alias("unique_order_days"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
-            _sum("line_total").alias("lifetime_value"), _sum("profit_amount").alias("lifetime_profit"), mean("line_total").alias("avg_order_value"),
-            F.round(F.avg("profit_margin_pct"), 6).alias("avg_profit_margin"), _n("product_key").alias("unique_products_purchased"), _n("category_name").alias("unique_categories"),
+        orders = lines.groupBy("customer_key", "order_id", "order_date").agg(*_parts("line_total", "profit_amount", "profit_margin_pct"))
+        m = orders.groupBy("customer_key").agg(
+            F.count("order_id").alias("total_orders"), _n("order_date").alias("unique_order_days"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
+            _sum("line_total").alias("lifetime_value"), _sum("profit_amount").alias("lifetime_profit"), _mean("line_total").alias("avg_order_value"), F.round(_mean("profit_margin_pct"), 6).alias("avg_profit_margin"),
         )
+        bought = lines.select("customer_key", "product_key").distinct().join(self.stg_products.select("product_key", "category_name"), "product_key", "left")
+        bought = bought.groupBy("customer_key").agg(F.count("product_key").alias("unique_products_purchased"), _n("category_name").alias("unique_categories"))
+        m = m.join(bought, "customer_key")
         c = self.stg_customers.select("customer_key", "customer_id", F.col("full_name").alias("customer_name"), F.col("email").alias("customer_email"), F.col("segment").alias("customer_segment"), F.col("tier").alias("customer_tier"), "registration_date")
         m = m.join(c, "customer_key", "left")
         m = m.withColumns({"customer_tenure_days": F.datediff("last_order_date", "first_order_date"), "days_since_last_order": F.datediff(as_of, "last_order_date")})
@@ -100,11 +112,12 @@ class Models:
 
     @cached_property
     def product_metrics(self) -> DataFrame:
-        m = self.stg_orders.groupBy("product_key").agg(
-            _n("order_id").alias("times_ordered"), F.sum("quantity").alias("total_units_sold"), _sum("line_total").alias("total_revenue"), _sum("profit_amount").alias("total_profit"),
-            F.round(F.avg("profit_margin_pct"), 6).alias("avg_margin_pct"), _n("customer_key").alias("unique_customers"), F.round(F.avg("effective_unit_price"), 6).alias("avg_selling_price"),
-            mean("discount_percent").alias("avg_discount_pct"), F.max("effective_unit_price").alias("max_selling_price"), F.min("effective_unit_price").alias("min_selling_price"),
-            F.min("order_date").alias("first_sale_date"), F.max("order_date").alias("last_sale_date"),
+        parts = _parts("line_total", "profit_amount", "profit_margin_pct", "effective_unit_price", "discount_percent", "quantity")
+        orders = self.stg_orders.groupBy("product_key", "order_id", "customer_key", "order_date").agg(*parts, F.max("effective_unit_price").alias("high"), F.min("effective_unit_price").alias("low"))
+        m = orders.groupBy("product_key").agg(
+            F.count("order_id").alias("times_ordered"), F.sum("quantity").alias("total_units_sold"), _sum("line_total").alias("total_revenue"), _sum("profit_amount").alias("total_profit"),
+            F.round(_mean("profit_margin_pct"), 6).alias("avg_margin_pct"), _n("customer_key").alias("unique_customers"), F.round(_mean("effective_unit_price"), 6).alias("avg_selling_price"),
+            _mean("discount_percent").alias("avg_discount_pct"), F.max("high").alias("max_selling_price"), F.min("low").alias("min_selling_price"), F.min("order_date").alias("first_sale_date"), F.max("order_date").alias("last_sale_date"),
         )
         p = self.stg_products.select("product_key", "product_name", "sku", "category_name", "category_path", "margin_category", F.col("price").alias("current_product_price"), F.col("cost").alias("current_product_cost"))
         return m.join(p, "product_key", "left")
@@ -112,17 +125,22 @@ class Models:
     # ---- marts ----
 
     def sales_daily_of(self, orders: DataFrame) -> DataFrame:
-        """Day grain of some staged lines. They are grouped by the day's key alone, with the customer's tier
-        as all they need of other tables; the calendar, one row a day, joins the result."""
-        vip, paid = F.col("customer_tier") == "VIP", lambda x: F.when(F.col("payment_method") == x, F.col("order_id"))
+        """Day grain of some staged lines. Lines first come down to orders, each of one day, customer and way
+        of paying, so that orders are counted without expanding lines once per distinct count; the customer's
+        tier then joins orders, and the calendar, one row a day, joins the result."""
+        vip, paid = F.col("customer_tier") == "VIP", lambda x: F.count(F.when(F.col("payment_method") == x, F.col("order_id")))
         tier = self.stg_customers.select("customer_key", F.col("tier").alias("customer_tier"))
-        m = orders.join(tier, "customer_key", "left").groupBy("date_key").agg(
-            _n("order_id").alias("total_orders"), _n("customer_key").alias("unique_customers"), _n("product_key").alias("unique_products"), _sum("line_total").alias("total_revenue"),
+        parts = _parts("line_total", "gross_amount", "discount_amount", "profit_amount", "quantity", "profit_margin_pct")
+        each = orders.groupBy("date_key", "order_id", "customer_key", "payment_method").agg(*parts).join(tier, "customer_key", "left")
+        m = each.groupBy("date_key").agg(
+            F.count("order_id").alias("total_orders"), _n("customer_key").alias("unique_customers"), _sum("line_total").alias("total_revenue"),
             _sum("gross_amount").alias("total_gross_revenue"), _sum("discount_amount").alias("total_discounts"), _sum("profit_amount").alias("total_profit"), F.sum("quantity").alias("total_quantity"),
-            mean("quantity").alias("avg_items_per_order"), mean("line_total").alias("avg_order_value"), F.round(F.avg("profit_margin_pct"), 6).alias("avg_profit_margin"),
-            _n(F.when(vip, F.col("customer_key"))).alias("vip_customers"), money(F.sum(F.when(vip, F.col("line_total")).otherwise(F.lit(0).cast("decimal(12,2)")))).alias("vip_revenue"),
-            *(_n(paid(x)).alias(f"{x}_orders") for x in ("credit_card", "debit_card", "paypal")),
+            _mean("quantity").alias("avg_items_per_order"), _mean("line_total").alias("avg_order_value"), F.round(_mean("profit_margin_pct"), 6).alias("avg_profit_margin"),
+            _n(F.when(vip, F.col("customer_key"))).alias("vip_customers"), money(F.sum(F.when(vip, F.col("line_total")).otherwise(F.lit(0)))).alias("vip_revenue"),
+            *(paid(x).alias(f"{x}_orders") for x in ("credit_card", "debit_card", "paypal")),
         )
+        products = orders.select("date_key", "product_key").distinct().groupBy("date_key").agg(F.count("product_key").alias("unique_products"))
+        m = m.join(products, "date_key")
         d = self.stg_dates.select("date_key", "date", "year", "month", "quarter", "year_month", "year_quarter", "is_weekend", "is_holiday")
         return m.join(d, "date_key", "left").withColumns({
             "day_type": F.when(F.col("is_weekend") == 1, "Weekend").otherwise("Weekday"),
