@@ -221,7 +221,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                 tmp = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
                 stream = fs.open_output_stream(tmp)
                 out = Writer(stream, enc.kind)
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 ids, at = enc.encode(column(part, "text"))
                 raw, step = ids.tobytes(), enc.kind.itemsize
                 for doc_id, a, b in zip(column(part, "doc_id").to_pylist(), (at[:-1] * step).tolist(), (at[1:] * step).tolist(), strict=True):

@@ -41,7 +41,7 @@ CLASSES, MEMBERS = 31, 32  # classes of common words, and words in each; class 3
 HEAD = CLASSES * MEMBERS
 PREV, SKIP = 128, 64
 CONTEXTS = PREV * SKIP
-UPDATES, PARTS = 10, 6
+UPDATES, PARTS, RIDGE = 10, 6, 2.0
 _SMOOTH = 0.5
 #: The end token; no word holds a line feed.
 END = b"\n"
@@ -246,7 +246,7 @@ def train(counts: DataFrame, seen: list[np.ndarray], updates: int = UPDATES) ->
             if x in have:
                 g = have[x] - g
             # A step of Newton's kind on each weight alone, shared among the features active together.
-            setattr(w, x, getattr(w, x) + np.clip((g - 0.1 * getattr(w, x)) / (3 * (h + 0.1)), -1.0, 1.0))
+            setattr(w, x, getattr(w, x) + np.clip((g - RIDGE * getattr(w, x)) / (3 * (h + RIDGE)), -1.0, 1.0))
     return w
 
 
