@@ -41,8 +41,10 @@ from tidemill.llm._spark import column, new_path, slices, table, tune
 
 END_ID = 2
 _INDEX, _SEEK, _FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-#: Distinct runs of characters whose ids a worker remembers.
-REMEMBER = 600_000
+#: Distinct parts, and distinct runs in them, whose ids a worker remembers: the first ones, so common ones.
+REMEMBER = 800_000
+#: Rows of a batch: the more, the fewer times a part is looked up.
+BATCH_ROWS = 3000
 #: Letters and marks whose runs the pre-tokenizer takes as one word, in lower case too. No apostrophe, and
 #: no "<", which special tokens start with.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "!-&(-/:;=-@\\[-`{-~"
@@ -71,14 +73,16 @@ class Encoder:
         self.parts: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def _ask(self, runs: list[str]) -> None:
-        """Learn runs that are one word each."""
+    def _ask(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs that are one word each."""
+        out: dict[str, bytes] = {}
         groups = [runs[i : i + 500] for i in range(0, len(runs), 500)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.kind)
             cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
             raw = ids.tobytes()
-            self.runs.update((x, raw[a:b]) for x, a, b in zip(group, cut[:-1], cut[1:], strict=True))
+            out.update((x, raw[a:b]) for x, a, b in zip(group, cut[:-1], cut[1:], strict=True))
+        return out
 
     def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         plain, other = {}, []
@@ -88,13 +92,14 @@ class Encoder:
                 plain[p] = RUNS.findall(text.lower())
             else:
                 other.append((p, text))
-        self._ask(list({r for x in plain.values() for r in x if r not in self.runs}))
         runs = self.runs
-        found = {p: b"".join([runs[r] for r in x]) for p, x in plain.items()}
+        fresh = self._ask(list({r for x in plain.values() for r in x if r not in runs}))
+        if len(runs) < REMEMBER:
+            runs.update(fresh)
+            fresh = runs
+        found = {p: b"".join([fresh[r] if r in fresh else runs[r] for r in x]) for p, x in plain.items()}
         for (p, _), got in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
             found[p] = np.array(got.ids, self.kind).tobytes()
-        if len(runs) > REMEMBER // 2:
-            runs.clear()
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +212,9 @@ def _store(uri: str):
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> list[tuple[str, int, int]]:
     """Encode ``text`` and write files into ``folder``; (path, documents, tokens) of each, in doc_id order."""
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -221,7 +228,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                 tmp = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
                 stream = fs.open_output_stream(tmp)
                 out = Writer(stream, enc.kind)
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 12 << 20):
                 ids, at = enc.encode(column(part, "text"))
                 raw, step = ids.tobytes(), enc.kind.itemsize
                 for doc_id, a, b in zip(column(part, "doc_id").to_pylist(), (at[:-1] * step).tolist(), (at[1:] * step).tolist(), strict=True):
@@ -235,6 +242,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     files = dealt.mapInArrow(run, "part long, path string, documents long, tokens long").collect()
+    tune(spark)
     return [(r.path, r.documents, r.tokens) for r in sorted(files, key=lambda r: r.part)]
 
 
