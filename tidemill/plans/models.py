@@ -190,7 +190,7 @@ class Models:
         m = self.sales_daily.groupBy(*keys).agg(
             _sum("total_revenue").alias("revenue"), _sum("total_gross_revenue").alias("gross_revenue"), _sum("total_discounts").alias("discounts"), _sum("total_profit").alias("gross_profit"),
             total("total_orders").alias("orders"), total("total_quantity").alias("units_sold"), total("unique_customers").alias("unique_customers"),
-            F.round(F.avg("avg_order_value"), 4).alias("avg_order_value"), mean(F.col("avg_profit_margin").cast("decimal(18,6)")).alias("avg_profit_margin"), total("vip_customers").alias("vip_customers"),
+            mean(F.col("avg_order_value").cast("decimal(28,9)")).alias("avg_order_value"), mean(F.col("avg_profit_margin").cast("decimal(18,6)")).alias("avg_profit_margin"), total("vip_customers").alias("vip_customers"),
             _sum("vip_revenue").alias("vip_revenue"), *(total(f"{x}_orders").alias(f"{x}_orders") for x in ("credit_card", "debit_card", "paypal")),
         )
         m = m.withColumns({"gross_margin_pct": ratio(F.col("gross_profit"), F.col("revenue")), "discount_rate": ratio(F.col("discounts"), F.col("gross_revenue")), "vip_revenue_pct": ratio(F.col("vip_revenue"), F.col("revenue"))})

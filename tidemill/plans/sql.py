@@ -78,7 +78,7 @@ CTE = star.SQL | {
     SELECT *, {div('gross_profit', 'revenue')} AS gross_margin_pct, {div('discounts', 'gross_revenue')} AS discount_rate, {div('vip_revenue', 'revenue')} AS vip_revenue_pct,
       cast(revenue - lag(revenue) OVER (ORDER BY year_month) AS decimal(18,2)) AS revenue_mom_change, orders - lag(orders) OVER (ORDER BY year_month) AS orders_mom_change
     FROM (SELECT year, month, year_month, year_quarter, {total('total_revenue', 'revenue')}, {total('total_gross_revenue', 'gross_revenue')}, {total('total_discounts', 'discounts')}, {total('total_profit', 'gross_profit')},
-        {whole('total_orders', 'orders')}, {whole('total_quantity', 'units_sold')}, {whole('unique_customers', 'unique_customers')}, round(avg(avg_order_value), 4) AS avg_order_value, {mean('cast(avg_profit_margin AS decimal(18,6))', 'avg_profit_margin')},
+        {whole('total_orders', 'orders')}, {whole('total_quantity', 'units_sold')}, {whole('unique_customers', 'unique_customers')}, {mean('cast(avg_order_value AS decimal(28,9))', 'avg_order_value')}, {mean('cast(avg_profit_margin AS decimal(18,6))', 'avg_profit_margin')},
         {whole('vip_customers', 'vip_customers')}, {total('vip_revenue', 'vip_revenue')}, {', '.join(whole(f'{x}_orders', f'{x}_orders') for x in ('credit_card', 'debit_card', 'paypal'))}
       FROM sales_daily GROUP BY ALL)) a JOIN (SELECT year_month, count(DISTINCT customer_key) AS distinct_customers FROM enriched GROUP BY 1) USING (year_month)""",
     "cohort_first": "SELECT customer_key, cast(date_trunc('month', min(date)) AS date) AS cohort_month FROM enriched GROUP BY 1",
