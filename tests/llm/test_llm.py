@@ -224,6 +224,34 @@ def _classes(n, ties):
     return of.values()
 
 
+def test_similar_joins_what_the_shingles_join(spark):
+    rnd = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rnd.integers(0, 5000, int(rnd.integers(40, 300)))]
+        texts.append(base)
+        for edits in (1, 2, 4, 8):
+            w = list(base)
+            for at in rnd.integers(0, len(w), edits).tolist():
+                w[at] = f"x{rnd.integers(1 << 30)}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    ties = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i: min(c) for c in _classes(len(texts), ties) for i in c}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op4_simhash.similar(docs).collect()}
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is joined that no chain of 0.8 joins
+    assert sum(got[i] == got[j] for i, j in ties) >= 0.95 * len(ties)
+
+
+def test_similar_with_nulls_and_short_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (None, "one"), (None, "lone"), (6, "two words"), (7, "two others"), (7, "another text of that id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(op4_simhash.similar(docs).select("doc_id", "component_id"), [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, 4), (None, None), (6, 6), (7, 7), (7, 7)])
+    assert op4_simhash.keep_one(docs).count() == 6
+    assert op4_simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_keep_one_of_each_group(spark):
     w = [f"q{i}" for i in range(400)]
     near = w[:200] + ["changed"] + w[201:]

@@ -11,6 +11,12 @@ Components of the verified links are found in the cluster by alternating stars.
 
 Equal fingerprints are one node, so copies of any number cost one row per fingerprint after counting.
 
+``similar`` joins documents by the exact similarity (Jaccard) of their word shingles. There fingerprints,
+wider ones, only propose links: those up to two standard deviations above the distance expected at the
+asked similarity. Every proposed link is settled by the shingles themselves: first the closest link of each
+node, then all that still lead from one component to another. Segments in a ring, taken as neighbours,
+find most links of such a distance, not provably all (``tests/llm`` and the README give the share).
+
 Defined results: null or empty texts have fingerprint zero and link like any other. Rows with a null
 doc_id take part in links but are never a component_id unless all of a component's ids are null (then it
 is null). Repeated rows are kept. Extra columns are ignored; an empty table gives no rows.
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
 from tidemill.llm._spark import Scratch, column, table, tune
+from tidemill.llm._text import U64, mix
 
 SHINGLE, BITS, DISTANCE, SEED = 4, 64, 4, 42
 #: Generator of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -102,23 +109,36 @@ def _segment(fp: list[np.ndarray], first: int, width: int) -> np.ndarray:
     return (x & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, bits: int = BITS) -> list[int]:
-    """The fingerprint's 64-bit words. h of word i is XXH64 with seed 42 + i."""
+def _shingles(text: str | None, shingle: int):
+    """XXH64 of each word shingle (of the whole sequence, if it has fewer words), a long text in pieces."""
     raw = b" ".join((text or "").encode().lower().split())
     if not raw:
-        return [0] * (bits // 64)
+        return
     gap = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     first, last = [0, *(gap + 1).tolist()], [*gap.tolist(), len(raw)]
     k = min(shingle, len(first))
-    out = []
-    for word in range(bits // 64):
-        ones, n = np.zeros(64, np.int64), len(first) - k + 1
-        for a in range(0, n, 1 << 16):  # a long text in pieces
-            b = min(a + (1 << 16), n)
-            h = np.array([xxhash.xxh64_intdigest(raw[s:e], SEED + word) for s, e in zip(first[a:b], last[a + k - 1 : b + k - 1], strict=True)], np.uint64)
-            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(sum(1 << j for j in np.flatnonzero(2 * ones > n).tolist()))
-    return out
+    n = len(first) - k + 1
+    for a in range(0, n, 1 << 16):
+        b = min(a + (1 << 16), n)
+        yield np.array([xxhash.xxh64_intdigest(raw[s:e], SEED) for s, e in zip(first[a:b], last[a + k - 1 : b + k - 1], strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, bits: int = BITS) -> list[int]:
+    """The fingerprint's 64-bit words: the first from each shingle's XXH64, others from that number mixed again."""
+    ones, n = np.zeros((bits // 64, 64), np.int64), 0
+    for h in _shingles(text, shingle):
+        n += len(h)
+        for word in range(bits // 64):
+            if word:
+                h = mix(h + U64(0x9E3779B97F4A7C15))
+            ones[word] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [sum(1 << j for j in np.flatnonzero(2 * x > n).tolist()) for x in ones]
+
+
+def shingle_set(text: str | None, shingle: int) -> bytes:
+    """The distinct shingles, as sorted 32-bit hashes."""
+    got = [(h >> U64(32)).astype(np.uint32) for h in _shingles(text, shingle)]
+    return np.unique(np.concatenate(got)).tobytes() if got else b""
 
 
 def _names(bits: int) -> list[str]:
@@ -140,8 +160,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> D
     return rows.mapInArrow(run, "doc_id long, rid long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _keys(bits: int):
-    """Each distinct fingerprint with every pair of its segments' keys."""
+def _keys(bits: int, carry: list[str]):
+    """Each distinct fingerprint (the words in ``carry``) with every pair of its segments' keys."""
     cuts, use = segments(bits), pairs(bits)
     names = _names(bits)
 
@@ -160,7 +180,7 @@ def _keys(bits: int):
                     rows.append(np.nonzero(ok)[0])
                     keys.append(both[ok])
                 row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(f.view(np.int64)[row]) for f in fp)], names=["key", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(f.view(np.int64)[row]) for f in fp[: len(carry)])], names=["key", *carry])
 
     return run
 
@@ -184,9 +204,8 @@ def forest(fp: list[np.ndarray], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def _link(bits: int, most: int, short: int = 12):
-    """Verified links within each bin. Rows come sorted by key; short bins are compared all at once."""
-    names = _names(bits)
+def _link(names: list[str], most: int, short: int = 12):
+    """Links within each bin by distance. Rows come sorted by key; short bins are compared all at once."""
 
     def done(key, fp):
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -223,42 +242,111 @@ def _link(bits: int, most: int, short: int = 12):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, most: int = DISTANCE) -> DataFrame:
-    """doc_id, rid, the fingerprint's words f0, ..., and component_id: the smallest doc_id reachable over links.
+def _links(nodes: DataFrame, bits: int, most: int, carry: list[str]) -> DataFrame:
+    """Links (a f0, ..., b f0, ...) between distinct fingerprints that share a bin, at most ``most`` bits of
+    the carried words apart."""
+    keyed = nodes.select(*_names(bits)).mapInArrow(_keys(bits, carry), "key long, " + ", ".join(f"{n} long" for n in carry))
+    schema = ", ".join(f"{s}{n} long" for s in "ab" for n in carry)
+    return keyed.repartition("key").sortWithinPartitions("key", *carry).mapInArrow(_link(carry, most), schema)
 
-    With 64 bits every link of at most four bits is found. With more bits the ring of segment pairs finds
-    every link of a few bits and, of those up to ``most``, a share that falls with the distance.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    names = _names(bits)
-    found = scratch.put("fingerprints", fingerprints(docs, shingle, bits))
-    nodes = scratch.put("nodes", found.groupBy(*names).agg(F.min("doc_id").alias("least"))).withColumn("node", F.col("f0") if len(names) == 1 else F.xxhash64(*names))
-    keyed = nodes.select(*names).mapInArrow(_keys(bits), "key long, " + ", ".join(f"{n} long" for n in names))
-    schema = ", ".join(f"{s}{n} long" for s in "ab" for n in names)
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(bits, most), schema)
-    node = [F.col(f"{s}f0") if len(names) == 1 else F.xxhash64(*(f"{s}{n}" for n in names)) for s in "ab"]
-    edges = links.select(F.greatest(*node).alias("u"), F.least(*node).alias("v")).where("u > v")
-    root = components(scratch, edges)
+
+def _grouped(scratch: Scratch, found: DataFrame, nodes: DataFrame, root: DataFrame, names: list[str]) -> DataFrame:
+    """Every row of ``found`` with its component: root (a node) and component_id; root: (u, root) of nodes."""
     roots = nodes.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = scratch.put("roots", roots)
     least = scratch.put("least", roots.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = scratch.put("classes", roots.join(least, "root").select(*names, "component_id"))
-    return found.join(classes, names).select("doc_id", "rid", *names, "component_id")
+    classes = scratch.put("classes", roots.join(least, "root").select(*names, "root", "component_id"))
+    return found.join(classes, names)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 128, similarity: float = 0.8) -> DataFrame:
-    """The documents, all columns, with one row of each group of near duplicates: that of the smallest doc_id
-    (of one doc_id's rows, that with the smallest hash of the text; rows without an id only among themselves).
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, the fingerprint f0, and component_id: the smallest doc_id reachable over links of at most
+    ``DISTANCE`` bits, all of which are found."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.put("fingerprints", fingerprints(docs))
+    nodes = scratch.put("nodes", found.groupBy("f0").agg(F.min("doc_id").alias("least"))).withColumn("node", F.col("f0"))
+    links = _links(nodes, BITS, DISTANCE, ["f0"])
+    edges = links.select(F.greatest("af0", "bf0").alias("u"), F.least("af0", "bf0").alias("v")).where("u > v")
+    return _grouped(scratch, found, nodes, components(scratch, edges), ["f0"]).select("doc_id", "rid", "f0", "component_id")
+
 
-    Two documents link if the similarity of their word shingles (Jaccard) that their fingerprints tell is
-    ``similarity`` or more: for sets of like size the cosine is 2J / (1 + J), and a share angle / pi of the
-    bits is expected to differ.
+def _alike(similarity: float):
+    """The rows whose two shingle sets have at least that Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(column(batch, "su"), column(batch, "sv"), strict=True):
+                a, b = (np.frombuffer(s.as_buffer(), np.uint32) for s in (x, y))
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    keep.append(False)
+                    continue
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1) if len(b) else a
+                both = int((b[at] == a).sum()) if len(b) else 0
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 192, told: int = 128) -> DataFrame:
+    """doc_id, rid, root (one number for each component) and component_id: the smallest doc_id reachable over
+    pairs of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Keys come from ``bits`` bits, the distance of a proposed link from the first ``told`` of them. For sets
+    of like size the cosine is 2J / (1 + J), and a share angle / pi of the bits is expected to differ.
+    Documents of equal fingerprints (``told`` bits) are one node, whose smallest doc_id's text stands for it.
     """
-    most = round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.5)
+    tune(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    names, carry = _names(bits), _names(told)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = round(told * share + 2 * math.sqrt(told * share * (1 - share)))
+
+    found = scratch.put("fingerprints", fingerprints(docs, shingle, bits))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "rid", *names[len(carry) :])).alias("first")
+    nodes = found.groupBy(*carry).agg(first).select(*carry, "first.least", "first.rid", *(f"first.{n}" for n in names[len(carry) :]))
+    nodes = scratch.put("nodes", nodes.withColumn("node", F.xxhash64(*carry)))
+    ends = [F.xxhash64(*(f"{s}{n}" for n in carry)) for s in "ab"]
+    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in carry), F.lit(0))
+    links = _links(nodes, bits, most, carry).select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"), apart.alias("d")).where("u > v")
+    links = scratch.put("links", links.distinct())
+
+    # The shingle sets of the texts that stand for the nodes in some link.
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    closest = scratch.put("closest", both.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")))
+    stand = nodes.join(closest.select(F.col("u").alias("node")), "node", "left_semi").select("node", F.col("least").alias("_id"), F.col("rid").alias("_rid"))
+
+    def sets(batches):
+        for batch in batches:
+            got = [shingle_set(t, shingle) for t in column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(got, pa.binary())], names=["node", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(stand, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid"))).select("node", "text")
+    texts = scratch.put("sets", texts.mapInArrow(sets, "node long, s binary"))
+
+    def settle(name: str, some: DataFrame) -> DataFrame:
+        full = some.join(texts.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+        return scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long").distinct())
+
+    near = closest.select(F.greatest("u", "m.v").alias("u"), F.least("u", "m.v").alias("v")).distinct()
+    sure = settle("sure", scratch.put("near", near))
+    root = scratch.put("root", components(scratch, sure))
+    of = lambda c: root.select(F.col("u").alias(c), F.col("root").alias(f"r{c}"))
+    rest = links.join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
+    more = settle("more", scratch.put("rest", rest.join(near, ["u", "v"], "left_anti")))
+    tied = root.select("u", F.col("root").alias("v")).unionByName(more)
+    return _grouped(scratch, found, nodes, components(scratch, tied), carry).select("doc_id", "rid", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, with one row of each group of near duplicates (see ``similar``): that of the
+    smallest doc_id, of one doc_id's rows that with the smallest hash of the text. A null id comes last."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.put("found", near_duplicates(docs, shingle, bits, most).select("doc_id", "rid", "component_id"))
-    stay = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("rid").alias("_rid"))
+    found = scratch.put("found", similar(docs, shingle, similarity).select("root", "doc_id", "rid"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"))).alias("first")
+    stay = found.groupBy("root").agg(first).select("first._id", "first._rid")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_rid"))
     once = docs.join(stay, same, "left_semi")
     return once.dropDuplicates(["doc_id", "text"])
