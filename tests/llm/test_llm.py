@@ -244,6 +244,19 @@ def test_similar_joins_what_the_shingles_join(spark):
     assert sum(got[i] == got[j] for i, j in ties) >= 0.95 * len(ties)
 
 
+def test_similar_finds_every_variant_of_a_hub(spark):
+    rnd = np.random.default_rng(8)
+    hub = [f"h{i}" for i in range(100)]
+    texts = [hub]
+    for _ in range(2000):  # two far words of each changed: 86 of 106 shingles are the hub's, 76 of 116 another's
+        w = list(hub)
+        for at in (int(rnd.integers(5, 45)), int(rnd.integers(52, 92))):
+            w[at] = f"x{rnd.integers(1 << 40)}"
+        texts.append(w)
+    docs = spark.createDataFrame([(i * 7919 % 2003, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["component_id"] for r in op4_simhash.similar(docs).collect()} == {0}
+
+
 def test_similar_with_nulls_and_short_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (None, "one"), (None, "lone"), (6, "two words"), (7, "two others"), (7, "another text of that id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -11,11 +11,11 @@ Components of the verified links are found in the cluster by alternating stars.
 
 Equal fingerprints are one node, so copies of any number cost one row per fingerprint after counting.
 
-``similar`` joins documents by the exact similarity (Jaccard) of their word shingles. There fingerprints,
-wider ones, only propose links: those up to two standard deviations above the distance expected at the
-asked similarity. Every proposed link is settled by the shingles themselves: first the closest link of each
-node, then all that still lead from one component to another. Segments in a ring, taken as neighbours,
-find most links of such a distance, not provably all (``tests/llm`` and the README give the share).
+``similar`` joins documents by the exact similarity (Jaccard) of their word shingles, and finds every such pair
+that isn't joined already. Sets that alike share many of their smallest shingle hashes: sets without enough
+shared ones have no partner, the others meet in bins of the rarest hashes that they must share (prefix
+filter, twice). Bins are searched in rounds: some rows of each are compared with all others of another
+component, those with most links first, and leave it, until each bin is empty or one component.
 
 Defined results: null or empty texts have fingerprint zero and link like any other. Rows with a null
 doc_id take part in links but are never a component_id unless all of a component's ids are null (then it
@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
@@ -135,10 +135,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, bits: int = BITS) -> l
     return [sum(1 << j for j in np.flatnonzero(2 * x > n).tolist()) for x in ones]
 
 
-def shingle_set(text: str | None, shingle: int) -> bytes:
-    """The distinct shingles, as sorted 32-bit hashes."""
-    got = [(h >> U64(32)).astype(np.uint32) for h in _shingles(text, shingle)]
-    return np.unique(np.concatenate(got)).tobytes() if got else b""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles, as sorted 64-bit hashes."""
+    got = list(_shingles(text, shingle))
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
 
 
 def _names(bits: int) -> list[str]:
@@ -277,7 +277,7 @@ def _alike(similarity: float):
         for batch in batches:
             keep = []
             for x, y in zip(column(batch, "su"), column(batch, "sv"), strict=True):
-                a, b = (np.frombuffer(s.as_buffer(), np.uint32) for s in (x, y))
+                a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 if min(len(a), len(b)) < similarity * max(len(a), len(b)):
                     keep.append(False)
                     continue
@@ -289,55 +289,121 @@ def _alike(similarity: float):
     return run
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 192, told: int = 128) -> DataFrame:
+def _prefixes(shingle: int, similarity: float):
+    """Node, number of shingles and smallest shingle hashes of each text. Sets alike share at least
+    ceil(similarity * n) shingles, hence, of so many smallest hashes each, n // 10 (and 1) of the smaller set."""
+
+    def run(batches):
+        for batch in batches:
+            node, size, low = [], [], []
+            for t in column(batch, "text").to_pylist():
+                s = shingle_set(t, shingle)
+                node.append(xxhash.xxh64_intdigest(np.array(fingerprint(t, shingle, 128), np.uint64).tobytes(), SEED))
+                size.append(len(s))
+                low.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + max(1, len(s) // 10)].view(np.int64))
+            offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
+            low = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rid"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), low], names=["doc_id", "rid", "node", "n", "low"])
+
+    return run
+
+
+def _bins(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(bin, node): any two nodes alike share a bin. Of the hashes that stand in several nodes' prefixes, a node
+    is found under all but the commonest, as many as it must share with a partner less one."""
+    shared = nodes.select("node", "n", F.explode("low").alias("h")).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    per = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    must = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similarity - 1e-9) / 10)).cast("int")
+    per = per.withColumn("must", must).where("size(t) >= must")
+    return per.select(F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("must") + 1)).alias("t"), "node").select(F.col("t.h").alias("bin"), "node")
+
+
+def _stars(many: int):
+    """Rows sorted by bin: pairs (null, u, v) of the first ``many`` rows of each bin with all others of it that
+    lie in another component, and the rows after them (bin, node, null)."""
+
+    def run(batches):
+        head = [np.zeros(0, np.int64)] * 3  # the first rows of the bin that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(head[0])
+            key, node, comp = (np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(head, ("bin", "node", "comp"), strict=True))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            start = np.repeat(first, size)
+            rank = np.arange(len(key)) - start
+            fresh = np.arange(len(key)) >= old
+            u, v = [], []
+            for j in range(min(many, int(size.max()) - 1)):
+                i = np.flatnonzero(fresh & (rank > j))
+                i = i[comp[i] != comp[start[i] + j]]
+                u.append(node[i])
+                v.append(node[start[i] + j])
+            if sum(map(len, u)):
+                u, v = np.concatenate(u), np.concatenate(v)
+                u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+                for a in range(0, len(u), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(u[a : a + 50_000]), pa.int64()), pa.array(u[a : a + 50_000]), pa.array(v[a : a + 50_000])], names=["bin", "u", "v"])
+            i = np.flatnonzero(fresh & (rank >= many))
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.nulls(len(i), pa.int64())], names=["bin", "u", "v"])
+            head = [x[first[-1] : first[-1] + many] for x in (key, node, comp)]
+
+    return run
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, rid, root (one number for each component) and component_id: the smallest doc_id reachable over
-    pairs of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+    pairs of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more (0.1 at least).
 
-    Keys come from ``bits`` bits, the distance of a proposed link from the first ``told`` of them. For sets
-    of like size the cosine is 2J / (1 + J), and a share angle / pi of the bits is expected to differ.
-    Documents of equal fingerprints (``told`` bits) are one node, whose smallest doc_id's text stands for it.
+    Documents of equal fingerprints (128 bits) are one node, whose smallest doc_id's text stands for it.
     """
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    names, carry = _names(bits), _names(told)
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = round(told * share + 2 * math.sqrt(told * share * (1 - share)))
-
-    found = scratch.put("fingerprints", fingerprints(docs, shingle, bits))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "rid", *names[len(carry) :])).alias("first")
-    nodes = found.groupBy(*carry).agg(first).select(*carry, "first.least", "first.rid", *(f"first.{n}" for n in names[len(carry) :]))
-    nodes = scratch.put("nodes", nodes.withColumn("node", F.xxhash64(*carry)))
-    ends = [F.xxhash64(*(f"{s}{n}" for n in carry)) for s in "ab"]
-    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in carry), F.lit(0))
-    links = _links(nodes, bits, most, carry).select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"), apart.alias("d")).where("u > v")
-    links = scratch.put("links", links.distinct())
-
-    # The shingle sets of the texts that stand for the nodes in some link.
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-    closest = scratch.put("closest", both.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")))
-    stand = nodes.join(closest.select(F.col("u").alias("node")), "node", "left_semi").select("node", F.col("least").alias("_id"), F.col("rid").alias("_rid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
+    found = scratch.put("found", rows.mapInArrow(_prefixes(shingle, similarity), "doc_id long, rid long, node long, n long, low array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "rid", "n", "low")).alias("first")
+    nodes = scratch.put("nodes", found.groupBy("node").agg(first).select("node", "first.least", "first.rid", "first.n", "first.low"))
+    left = scratch.put("bins", _bins(nodes, similarity))
+
+    # The shingle sets of the texts that stand for the nodes in some bin.
+    stand = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("_id"), F.col("rid").alias("_rid"))
 
     def sets(batches):
         for batch in batches:
-            got = [shingle_set(t, shingle) for t in column(batch, "text").to_pylist()]
+            got = [shingle_set(t, shingle).tobytes() for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(got, pa.binary())], names=["node", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(stand, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid"))).select("node", "text")
+    texts = rows.join(stand, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid"))).dropDuplicates(["node"]).select("node", "text")
     texts = scratch.put("sets", texts.mapInArrow(sets, "node long, s binary"))
 
     def settle(name: str, some: DataFrame) -> DataFrame:
         full = some.join(texts.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-        return scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long").distinct())
-
-    near = closest.select(F.greatest("u", "m.v").alias("u"), F.least("u", "m.v").alias("v")).distinct()
-    sure = settle("sure", scratch.put("near", near))
-    root = scratch.put("root", components(scratch, sure))
-    of = lambda c: root.select(F.col("u").alias(c), F.col("root").alias(f"r{c}"))
-    rest = links.join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
-    more = settle("more", scratch.put("rest", rest.join(near, ["u", "v"], "left_anti")))
-    tied = root.select("u", F.col("root").alias("v")).unionByName(more)
-    return _grouped(scratch, found, nodes, components(scratch, tied), carry).select("doc_id", "rid", "root", "component_id")
+        return scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
+
+    many, k, root, links, tried = 1, 0, None, None, None
+    while True:
+        k += 1
+        if root is None:
+            open_ = left.select("bin", "node", F.col("node").alias("comp"), F.lit(0).alias("ties"))
+        else:
+            ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+            told = left.join(root.withColumnRenamed("u", "node"), "node", "left").join(ends.groupBy("node").agg(F.count("*").alias("ties")), "node", "left")
+            told = scratch.put(f"told{k}", told.select("bin", "node", F.coalesce("root", "node").alias("comp"), F.coalesce("ties", F.lit(0)).alias("ties")))
+            apart = told.groupBy("bin").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bin")
+            open_ = told.join(scratch.put(f"apart{k}", apart), "bin", "left_semi")
+        stars = open_.repartition("bin").sortWithinPartitions("bin", F.desc("ties"), "node").mapInArrow(_stars(many), "bin long, u long, v long")
+        stars = scratch.put(f"stars{k}", stars)
+        pairs = stars.where("bin is null").select("u", "v").distinct()
+        pairs = scratch.put(f"pairs{k}", pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = settle(f"more{k}", pairs)
+        links = more if links is None else links.unionByName(more)
+        root = components(scratch, more if root is None else root.select("u", F.col("root").alias("v")).unionByName(more))
+        left = stars.where("bin is not null").select("bin", F.col("u").alias("node"))
+        if left.isEmpty():
+            return _grouped(scratch, found, nodes, root, ["node"]).select("doc_id", "rid", "root", "component_id")
+        many = min(8 * many, 512)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
