@@ -257,6 +257,13 @@ def test_similar_finds_every_variant_of_a_hub(spark):
     assert {r["component_id"] for r in op4_simhash.similar(docs).collect()} == {0}
 
 
+def test_a_line_repeated_in_two_texts_does_not_join_them(spark):
+    line = " ".join(f"line{i}" for i in range(11))
+    texts = [" ".join([line] * 200 + [f"{x}{i}" for i in range(150)]) for x in "ab"]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[0].upper())], "doc_id long, text string")
+    same(op4_simhash.similar(docs).select("doc_id", "component_id"), [(1, 1), (2, 2), (3, 1)])
+
+
 def test_similar_with_nulls_and_short_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (None, "one"), (None, "lone"), (6, "two words"), (7, "two others"), (7, "another text of that id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

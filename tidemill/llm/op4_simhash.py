@@ -298,7 +298,7 @@ def _prefixes(shingle: int, similarity: float):
             node, size, low = [], [], []
             for t in column(batch, "text").to_pylist():
                 s = shingle_set(t, shingle)
-                node.append(xxhash.xxh64_intdigest(np.array(fingerprint(t, shingle, 128), np.uint64).tobytes(), SEED))
+                node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 size.append(len(s))
                 low.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + max(1, len(s) // 10)].view(np.int64))
             offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
@@ -356,7 +356,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     """doc_id, rid, root (one number for each component) and component_id: the smallest doc_id reachable over
     pairs of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more (0.1 at least).
 
-    Documents of equal fingerprints (128 bits) are one node, whose smallest doc_id's text stands for it.
+    Documents of equal shingle sets (a 64-bit hash of the whole set) are one node; fingerprints take no part.
     """
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
