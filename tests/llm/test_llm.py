@@ -134,6 +134,13 @@ def test_substring_lengths_double_until_none_repeats(spark):
     assert kept == {1: " ".join(w), 2: "a b", 3: "c", 4: "d"}
 
 
+def test_copies_of_whole_documents_have_a_longest(spark):
+    w = [f"y{i}" for i in range(210)]
+    rows = [(1, " ".join(w)), (2, "\n".join(w)), (3, " ".join(w[:60]) + " c"), (4, "d"), (5, "d"), (6, "z " * 100), (6, "z " * 100), (7, "v " * 50), (8, "v " * 50), (None, "d")]
+    got = {r["doc_id"]: r["longest"] for r in op1_substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), grow=True).collect()}
+    assert got == {1: 200, 2: 200, 3: 50, 4: None, 5: None, 6: None, 7: 50, 8: 50, None: None}
+
+
 def test_licenses(spark, sf, folder):
     for d in (sf, folder):
         got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in op2_license_scan.op2_license_scan(spark, d).collect()}

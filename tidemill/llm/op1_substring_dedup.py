@@ -10,7 +10,8 @@ goes on, pairing neighbouring windows into ones of twice the length until no can
 ``window`` are removed, so the query stops at its own length.
 
 Documents of equal word sequences count as one class, whose smallest row alone goes through the
-levels, so that a group of copies of any size costs one document.
+levels, so that a group of copies of any size costs one document. All members of a class repeat whole:
+their ``longest`` is the longest doubling that fits.
 
 Defined results: null text has no words; a document of fewer words than the window keeps all. A row
 with null doc_id is neither source nor target and keeps all its words. Rows that share a doc_id are
@@ -182,10 +183,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, grow: bool = False) ->
         F.when(F.col("copy"), F.array(F.struct(F.lit(0).cast("long").alias("first"), n.alias("last")))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<first:long,last:long>>)"))).alias("spans"),
     )
     if grow:
-        out = out.join(_longest(scratch, full, owner, key, window), key, "left")
+        longest = _longest(scratch, full, owner, key, window).unionByName(_copied(found, key, window))
+        out = out.join(longest.groupBy(*key).agg(F.max("longest").alias("longest")), key, "left")
     return out
 
 
+def _copied(found: DataFrame, key: list[str], length: int) -> DataFrame:
+    """Documents whose whole text another document has: the longest doubling of the window that fits in it."""
+    whole = found.where(F.col("sha").isNotNull() & F.col("doc_id").isNotNull() & (F.col("n_words") >= length))
+    twice = whole.groupBy("s1", "s2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("s1", "s2")
+    fits = F.expr(f"cast({length} * power(2, length(bin(n_words div {length})) - 1) as int)")
+    return whole.join(twice, ["s1", "s2"], "left_semi").select(*key, fits.alias("longest"))
+
+
 def _longest(scratch: Scratch, full: DataFrame, owner: DataFrame, key: list[str], length: int) -> DataFrame:
     """Doubling beyond the window: pair survivors one length apart until none is left."""
     level = scratch.put(f"level{length}", full.join(owner.select("h1", "h2"), ["h1", "h2"], "left_semi"))
