@@ -37,7 +37,7 @@ EDGES = [
     (8, f"token: secret={KEY} AKIA{'Z' * 16} " + "0123456789abcdef" + " <|endoftext|> Straße", "de", "b"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-EXTRA = ("rid", "n_words", "ids", "spans", "score", "at", "k", "word", "n", "rgb")
+EXTRA = ("rid", "n_words", "ids", "spans", "score", "at", "k", "word", "n", "rgb", "_id", "_rid", "_k", "_live", "_spans", "sha", "found", "node", "c0")
 
 
 @pytest.fixture(scope="module")
@@ -122,13 +122,32 @@ def brute_substrings(docs):
 
 def test_substrings(spark, sf, folder):
     for d in (sf, folder):
-        same(op1_substring_dedup.op1_substring_dedup(spark, d).drop("n_spans"), brute_substrings(documents(spark, d)))
+        same(op1_substring_dedup.op1_substring_dedup(spark, d).drop("n_spans", "longest"), brute_substrings(documents(spark, d)))
+
+
+@pytest.mark.parametrize("symbols", (1024, 2048))
+def test_substrings_that_differ_as_thue_and_morse_are_kept(spark, symbols):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(symbols))
+    other = one.translate({97: "b", 98: "a"})  # sums over powers of any odd base collide
+    fill = [f"f{i}" for i in range(59)]
+    docs = spark.createDataFrame([(i, " ".join([x] * 1 + fill[:30] + [x] + fill[30:])) for i, x in enumerate((one, other, one), 1)], "doc_id long, text string")
+    words = [one[i : i + 1] for i in range(symbols)]
+    spread = [(i, " ".join(w)) for i, w in ((4, words), (5, ["b" if x == "a" else "a" for x in words]))]
+    docs = docs.union(spark.createDataFrame(spread, "doc_id long, text string"))
+    got = op1_substring_dedup.repeated_spans(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    same(got, brute_substrings([tuple(r) for r in docs.collect()]))
+
+
+def test_substrings_of_rows_that_share_an_id_and_words(spark):
+    rows = [(1, PASSAGE), (2, "a " + PASSAGE), (2, "a\n" + PASSAGE), (3, "b " + PASSAGE), (3, "c " + PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(op1_substring_dedup.repeated_spans(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"), brute_substrings(rows))
 
 
 def test_substring_lengths_double_until_none_repeats(spark):
     w = [f"x{i}" for i in range(450)]
     docs = spark.createDataFrame([(1, " ".join(w)), (2, "a " + " ".join(w[:210]) + " b"), (3, " ".join(w[300:360]) + " c"), (4, "d")], "doc_id long, text string")
-    got = {r["doc_id"]: r["longest"] for r in op1_substring_dedup.repeated_spans(docs, grow=True).collect()}
+    got = {r["doc_id"]: r["longest"] for r in op1_substring_dedup.repeated_spans(docs).collect()}
     assert got == {1: 200, 2: 200, 3: 50, 4: None}
     kept = {r["doc_id"]: r["text"] for r in op1_substring_dedup.remove_repeats(docs).collect()}
     assert kept == {1: " ".join(w), 2: "a b", 3: "c", 4: "d"}
@@ -137,7 +156,7 @@ def test_substring_lengths_double_until_none_repeats(spark):
 def test_copies_of_whole_documents_have_a_longest(spark):
     w = [f"y{i}" for i in range(210)]
     rows = [(1, " ".join(w)), (2, "\n".join(w)), (3, " ".join(w[:60]) + " c"), (4, "d"), (5, "d"), (6, "z " * 100), (6, "z " * 100), (7, "v " * 50), (8, "v " * 50), (None, "d")]
-    got = {r["doc_id"]: r["longest"] for r in op1_substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), grow=True).collect()}
+    got = {r["doc_id"]: r["longest"] for r in op1_substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 200, 2: 200, 3: 50, 4: None, 5: None, 6: None, 7: 50, 8: 50, None: None}
 
 

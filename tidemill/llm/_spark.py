@@ -32,6 +32,13 @@ class Scratch:
         for name in names:
             delete(self.spark, self.paths.pop(name))
 
+    def last(self, name: str, df: DataFrame) -> DataFrame:
+        """Write the result and delete all other tables; the result's own table stays for its readers."""
+        before = list(self.paths)
+        df = self.put(f"last-{name}", df)
+        self.drop(*before)
+        return df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
