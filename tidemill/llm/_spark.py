@@ -21,9 +21,11 @@ class Scratch:
     """Tables written in the shared folder, which cut lineage and outlive a lost executor."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.old = spark, {}, []
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
+        if name in self.paths:
+            self.old.append(self.paths[name])
         path = self.paths[name] = new_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -34,9 +36,11 @@ class Scratch:
 
     def last(self, name: str, df: DataFrame) -> DataFrame:
         """Write the result and delete all other tables; the result's own table stays for its readers."""
-        before = list(self.paths)
+        before = [*self.paths.values(), *self.old]
         df = self.put(f"last-{name}", df)
-        self.drop(*before)
+        for path in before:
+            delete(self.spark, path)
+        self.paths, self.old = {f"last-{name}": self.paths[f"last-{name}"]}, []
         return df
 
 

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 
@@ -165,3 +166,19 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
         out = pick(out[:-step], out[step:])
         done += step
     return out
+
+
+def cut(col: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """A-Z lower-cased and cut at white space: which word stands at each place, the distinct words, and where
+    each text starts (and the last ends)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(col, "")))
+    flat, rows = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    rows = rows - rows[0]
+    told = flat.dictionary_encode()
+    which, words = told.indices.to_numpy().astype(np.int64), told.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:  # white space at the ends of a text gives empty words
+        void = words.index(b"")
+        keep = which != void
+        rows = np.concatenate([[0], np.cumsum(keep)])[rows]
+        which = which[keep]
+    return which, words, rows

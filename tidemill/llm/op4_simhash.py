@@ -11,11 +11,15 @@ Components of the verified links are found in the cluster by alternating stars.
 
 Equal fingerprints are one node, so copies of any number cost one row per fingerprint after counting.
 
-``similar`` joins documents by the exact similarity (Jaccard) of their word shingles, and finds every such pair
-that isn't joined already. Sets that alike share many of their smallest shingle hashes: sets without enough
-shared ones have no partner, the others meet in bins of the rarest hashes that they must share (prefix
-filter, twice). Bins are searched in rounds: some rows of each are compared with all others of another
-component, those with most links first, and leave it, until each bin is empty or one component.
+``similar`` joins documents by the exact similarity (Jaccard) of their sets of word shingles. Documents of equal
+sets are one node. First the nodes' fingerprints go through the same keys, bins and distance, and each node is
+compared with the smallest of those linked to it: that brings most near copies together at one comparison a
+node. What fingerprints can't see, since sets of similarity 0.8 differ in some ten bits of 64, an exact way
+finds: two sets that alike share one of their rarest shingles at least (prefix filter; any order of shingles is
+exact, the one used has the commonest last, by a table of counts of fixed size). Nodes that share such a
+shingle are a bin. Bins are searched in rounds: some rows of each are compared with all others of another
+component, those with most links first, and leave it, until each bin is empty or one component. So no pair
+of that similarity is lost, none is joined without its sets having been compared, and nothing is capped.
 
 Defined results: null or empty texts have fingerprint zero and link like any other. Rows with a null
 doc_id take part in links but are never a component_id unless all of a component's ids are null (then it
@@ -30,12 +34,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
-from tidemill.llm._spark import Scratch, column, table, tune
-from tidemill.llm._text import U64, mix
+from tidemill.llm._spark import Scratch, column, slices, table, tune
+from tidemill.llm._text import U64, cut, mix
 
 SHINGLE, BITS, DISTANCE, SEED = 4, 64, 4, 42
 #: Generator of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -135,12 +139,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, bits: int = BITS) -> l
     return [sum(1 << j for j in np.flatnonzero(2 * x > n).tolist()) for x in ones]
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct shingles, as sorted 64-bit hashes."""
-    got = list(_shingles(text, shingle))
-    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-
-
 def _names(bits: int) -> list[str]:
     return [f"f{i}" for i in range(bits // 64)]
 
@@ -227,16 +225,23 @@ def _link(names: list[str], most: int, short: int = 12):
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], names=[*(f"a{n}" for n in names), *(f"b{n}" for n in names)])
 
     def run(batches):
-        key, fp = np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in names]
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            key = np.concatenate([key, column(batch, "key").to_numpy()])
-            fp = [np.concatenate([f, column(batch, n).to_numpy().view(np.uint64)]) for f, n in zip(fp, names, strict=True)]
-            if len(key) < 1 << 17 or key[0] == key[-1]:
+            if not batch.num_rows:
                 continue
+            now = [column(batch, "key").to_numpy(), *(column(batch, n).to_numpy().view(np.uint64) for n in names)]
+            held.append(now)
+            rows += batch.num_rows
+            if rows < 1 << 17 or now[0][-1] == held[0][0][0]:
+                continue
+            key, *fp = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1]))  # the last bin may go on in the next batch
-            yield from done(key[:cut], [f[:cut] for f in fp])
-            key, fp = key[cut:], [f[cut:] for f in fp]
-        if len(key):
+            if cut:
+                yield from done(key[:cut], [f[:cut] for f in fp])
+            held, rows = [[key[cut:], *(f[cut:] for f in fp)]], len(key) - cut
+        if held:
+            key, *fp = (np.concatenate(x) for x in zip(*held, strict=True))
             yield from done(key, fp)
 
     return run
@@ -267,7 +272,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = scratch.put("nodes", found.groupBy("f0").agg(F.min("doc_id").alias("least"))).withColumn("node", F.col("f0"))
     links = _links(nodes, BITS, DISTANCE, ["f0"])
     edges = links.select(F.greatest("af0", "bf0").alias("u"), F.least("af0", "bf0").alias("v")).where("u > v")
-    return _grouped(scratch, found, nodes, components(scratch, edges), ["f0"]).select("doc_id", "rid", "f0", "component_id")
+    out = _grouped(scratch, found, nodes, components(scratch, edges), ["f0"])
+    return scratch.last("near", out.select("doc_id", "rid", "f0", "component_id"))
 
 
 def _alike(similarity: float):
@@ -289,46 +295,121 @@ def _alike(similarity: float):
     return run
 
 
-def _prefixes(shingle: int, similarity: float):
-    """Node, number of shingles and smallest shingle hashes of each text. Sets alike share at least
-    ceil(similarity * n) shingles, hence, of so many smallest hashes each, n // 10 (and 1) of the smaller set."""
+def shingle_sets(col: pa.Array, shingle: int) -> list[np.ndarray]:
+    """For each text the distinct word shingles (the whole sequence, if it has fewer words) as sorted 64-bit hashes,
+    mixed from the XXH64 of their lower-cased words."""
+    which, words, rows = cut(col)
+    word = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)[which]
+
+    def run(first: np.ndarray, count: int, n: int) -> np.ndarray:
+        x = mix(first + U64(count))
+        for j in range(1, count):
+            x = mix(x * U64(0x9E3779B97F4A7C15) ^ word[j + at : j + at + n])
+        return x
+
+    at = 0
+    n = max(0, len(word) - shingle + 1)
+    every = run(word[:n], shingle, n)
+    out = []
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        if b - a >= shingle:
+            out.append(np.unique(every[a : b - shingle + 1]))
+        elif a == b:
+            out.append(np.zeros(0, np.uint64))
+        else:
+            at = a
+            out.append(run(word[a : a + 1], b - a, 1))
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of some hashes: a bit is 1 if set in over half of them."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _i64(x: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+
+
+def _sketches(shingle: int):
+    """doc_id, rid, node (XXH64 of the set), n (its size), f0 (its fingerprint) and the set's bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                got = shingle_sets(column(part, "text"), shingle)
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "doc_id"), column(part, "rid"), _i64([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in got]), pa.array([len(s) for s in got], pa.int64()), _i64([majority(s) for s in got]), pa.array([s.tobytes() for s in got], pa.binary())],
+                    names=["doc_id", "rid", "node", "n", "f0", "s"],
+                )
+
+    return run
+
+
+def _common(found: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket (the hash's first 16 bits) stand in the sets: 2^16 numbers, whatever the corpus."""
+
+    def count(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for s in column(batch, "s"):
+                total += np.bincount(np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(48), minlength=1 << 16)
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in total.reshape(16, -1)], pa.binary())], names=["part", "raw"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(column(batch, "part").to_pylist(), column(batch, "raw"), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "raw"])
+
+    schema = "part int, raw binary"
+    out = np.zeros((16, 1 << 12), np.int64)
+    for r in found.select("s").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema).collect():
+        out[r["part"]] = np.frombuffer(bytes(r["raw"]), np.int64)
+    return out.ravel()
+
+
+def _prefixes(common, similarity: float):
+    """(h, node, n, pos) of each set's rarest shingles. Sets alike share ceil(similarity * n) shingles of the larger at
+    least, hence one of the n - ceil(similarity * n) + 1 that come first in any order that is the same for all."""
 
     def run(batches):
         for batch in batches:
-            node, size, low = [], [], []
-            for t in column(batch, "text").to_pylist():
-                s = shingle_set(t, shingle)
-                node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                size.append(len(s))
-                low.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + max(1, len(s) // 10)].view(np.int64))
-            offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
-            low = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rid"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), low], names=["doc_id", "rid", "node", "n", "low"])
+            held: list[list[np.ndarray]] = []
+            for node, n, raw in zip(column(batch, "node").to_pylist(), column(batch, "n").to_pylist(), column(batch, "s"), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                first = np.lexsort((s, common.value[s >> np.uint64(48)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                held.append([s[first].view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), n, np.int64), np.arange(len(first))])
+            if held:
+                h, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+                for a in range(0, len(h), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (h, *more)], names=["h", "node", "n", "pos"])
 
     return run
 
 
-def _bins(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(bin, node): any two nodes alike share a bin. Of the hashes that stand in several nodes' prefixes, a node
-    is found under all but the commonest, as many as it must share with a partner less one."""
-    shared = nodes.select("node", "n", F.explode("low").alias("h")).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
-    per = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
-    must = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similarity - 1e-9) / 10)).cast("int")
-    per = per.withColumn("must", must).where("size(t) >= must")
-    return per.select(F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("must") + 1)).alias("t"), "node").select(F.col("t.h").alias("bin"), "node")
+def _may(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles that share their pos-th and at-th may be alike: what they can share at most
+    is enough."""
+    most = np.minimum(pos, at) + 1 + np.minimum(n - pos, m - at) - 1
+    return most * (1 + similarity) >= similarity * (n + m) - 1e-6
 
 
-def _stars(many: int):
+def _stars(many: int, similarity: float):
     """Rows sorted by bin: pairs (null, u, v) of the first ``many`` rows of each bin with all others of it that
-    lie in another component, and the rows after them (bin, node, null)."""
+    lie in another component and may be alike, and the rows after them (bin, node, null)."""
+    names = ("bin", "node", "comp", "n", "pos")
 
     def run(batches):
-        head = [np.zeros(0, np.int64)] * 3  # the first rows of the bin that may go on
+        head = [np.zeros(0, np.int64)] * len(names)  # the first rows of the bin that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(head[0])
-            key, node, comp = (np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(head, ("bin", "node", "comp"), strict=True))
+            key, node, comp, n, pos = every = [np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(head, names, strict=True)]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
             start = np.repeat(first, size)
@@ -337,85 +418,108 @@ def _stars(many: int):
             u, v = [], []
             for j in range(min(many, int(size.max()) - 1)):
                 i = np.flatnonzero(fresh & (rank > j))
-                i = i[comp[i] != comp[start[i] + j]]
-                u.append(node[i])
-                v.append(node[start[i] + j])
+                k = start[i] + j
+                ok = (comp[i] != comp[k]) & _may(n[i], pos[i], n[k], pos[k], similarity)
+                u.append(node[i[ok]])
+                v.append(node[k[ok]])
             if sum(map(len, u)):
                 u, v = np.concatenate(u), np.concatenate(v)
                 u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
                 for a in range(0, len(u), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(u[a : a + 50_000]), pa.int64()), pa.array(u[a : a + 50_000]), pa.array(v[a : a + 50_000])], names=["bin", "u", "v"])
+                    m = len(u[a : a + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(u[a : a + 50_000]), pa.array(v[a : a + 50_000]), *(pa.nulls(m, pa.int64()) for _ in range(2))], names=["bin", "u", "v", "n", "pos"])
             i = np.flatnonzero(fresh & (rank >= many))
-            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.nulls(len(i), pa.int64())], names=["bin", "u", "v"])
-            head = [x[first[-1] : first[-1] + many] for x in (key, node, comp)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.nulls(len(i), pa.int64()), pa.array(n[i]), pa.array(pos[i])], names=["bin", "u", "v", "n", "pos"])
+            head = [x[first[-1] : first[-1] + many] for x in every]
 
     return run
 
 
+def _proposed(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """(u, v): each node with the smallest of those whose fingerprints are ``DISTANCE`` bits apart at most, or with
+    the smallest of an equal fingerprint. One pair a node at most."""
+    prints = scratch.put("prints", nodes.groupBy("f0").agg(F.min("node").alias("node")))
+    ties = _links(prints, BITS, DISTANCE, ["f0"])
+    ties = ties.groupBy(F.greatest("af0", "bf0").alias("a")).agg(F.min(F.least("af0", "bf0")).alias("b")).where("a > b")
+    ties = scratch.put("ties", ties)
+    a, b = (prints.select(F.col("f0").alias(x), F.col("node").alias(f"n{x}")) for x in "ab")
+    near = ties.join(a, "a").join(b, "b").select("na", "nb")
+    same = nodes.select(F.col("node").alias("na"), F.col("f0").alias("b")).join(b, "b").where("na <> nb").select("na", "nb")
+    pairs = scratch.put("proposed", near.unionByName(same).select(F.greatest("na", "nb").alias("u"), F.least("na", "nb").alias("v")).distinct())
+    scratch.drop("prints", "ties")
+    return pairs
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, rid, root (one number for each component) and component_id: the smallest doc_id reachable over
-    pairs of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more (0.1 at least).
+    pairs of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Documents of equal shingle sets (a 64-bit hash of the whole set) are one node; fingerprints take no part.
+    Documents of equal shingle sets (a 64-bit hash of the whole set) are one node; no two others are joined
+    unless their sets have been compared.
     """
     tune(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    found = scratch.put("found", rows.mapInArrow(_prefixes(shingle, similarity), "doc_id long, rid long, node long, n long, low array<long>"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "rid", "n", "low")).alias("first")
-    nodes = scratch.put("nodes", found.groupBy("node").agg(first).select("node", "first.least", "first.rid", "first.n", "first.low"))
-    left = scratch.put("bins", _bins(nodes, similarity))
-
-    # The shingle sets of the texts that stand for the nodes in some bin.
-    stand = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("_id"), F.col("rid").alias("_rid"))
-
-    def sets(batches):
-        for batch in batches:
-            got = [shingle_set(t, shingle).tobytes() for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(got, pa.binary())], names=["node", "s"])
-
-    texts = rows.join(stand, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid"))).dropDuplicates(["node"]).select("node", "text")
-    texts = scratch.put("sets", texts.mapInArrow(sets, "node long, s binary"))
+    every = scratch.put("sketches", rows.mapInArrow(_sketches(shingle), "doc_id long, rid long, node long, n long, f0 long, s binary"))
+    found = every.select("doc_id", "rid", "node")
+    nodes = scratch.put("nodes", every.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0")))
+
+    # Bins of the exact way: shingles that stand in the prefixes of several nodes.
+    common = spark.sparkContext.broadcast(_common(every))
+    prefix = scratch.put("prefixes", every.select("node", "n", "s").mapInArrow(_prefixes(common, similarity), "h long, node long, n long, pos long"))
+    shared = scratch.put("shared", prefix.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h"))
+    left = prefix.join(shared, "h", "left_semi").groupBy(F.col("h").alias("bin"), "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    left = scratch.put("bins", left)
+    scratch.drop("prefixes", "shared")
+    sets = every.select("node", "s").join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+    sets = scratch.put("sets", sets)
 
     def settle(name: str, some: DataFrame) -> DataFrame:
-        full = some.join(texts.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+        full = some.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
         return scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
 
-    many, k, root, links, tried = 1, 0, None, None, None
+    tried = _proposed(scratch, nodes)
+    links = settle("links0", tried)
+    root = components(scratch, links)
+    many, k = 1, 0
     while True:
         k += 1
-        if root is None:
-            open_ = left.select("bin", "node", F.col("node").alias("comp"), F.lit(0).alias("ties"))
-        else:
-            ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
-            told = left.join(root.withColumnRenamed("u", "node"), "node", "left").join(ends.groupBy("node").agg(F.count("*").alias("ties")), "node", "left")
-            told = scratch.put(f"told{k}", told.select("bin", "node", F.coalesce("root", "node").alias("comp"), F.coalesce("ties", F.lit(0)).alias("ties")))
-            apart = told.groupBy("bin").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bin")
-            open_ = told.join(scratch.put(f"apart{k}", apart), "bin", "left_semi")
-        stars = open_.repartition("bin").sortWithinPartitions("bin", F.desc("ties"), "node").mapInArrow(_stars(many), "bin long, u long, v long")
+        ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+        told = left.join(root.withColumnRenamed("u", "node"), "node", "left").join(ends.groupBy("node").agg(F.count("*").alias("ties")), "node", "left")
+        told = scratch.put(f"told{k}", told.select("bin", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("ties", F.lit(0)).alias("ties")))
+        apart = told.groupBy("bin").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bin")
+        open_ = told.join(scratch.put(f"apart{k}", apart), "bin", "left_semi")
+        stars = open_.repartition("bin").sortWithinPartitions("bin", F.desc("ties"), "node").mapInArrow(_stars(many, similarity), "bin long, u long, v long, n long, pos long")
         stars = scratch.put(f"stars{k}", stars)
+        scratch.drop(f"told{k}", f"apart{k}")
+        left = stars.where("bin is not null").select("bin", F.col("u").alias("node"), "n", "pos")
         pairs = stars.where("bin is null").select("u", "v").distinct()
-        pairs = scratch.put(f"pairs{k}", pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = settle(f"more{k}", pairs)
-        links = more if links is None else links.unionByName(more)
-        root = components(scratch, more if root is None else root.select("u", F.col("root").alias("v")).unionByName(more))
-        left = stars.where("bin is not null").select("bin", F.col("u").alias("node"))
+        pairs = scratch.put(f"pairs{k}", pairs.join(tried, ["u", "v"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        more = settle(f"links{k}", pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            root = components(scratch, root.select("u", F.col("root").alias("v")).unionByName(more))
         if left.isEmpty():
-            return _grouped(scratch, found, nodes, root, ["node"]).select("doc_id", "rid", "root", "component_id")
-        many = min(8 * many, 512)
+            break
+        if k > 1:
+            scratch.drop(f"stars{k - 1}")
+        many = min(16 * many, 512)
+    return scratch.last("similar", _grouped(scratch, found, nodes, root, ["node"]).select("doc_id", "rid", "root", "component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, with one row of each group of near duplicates (see ``similar``): that of the
     smallest doc_id, of one doc_id's rows that with the smallest hash of the text. A null id comes last."""
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.put("found", similar(docs, shingle, similarity).select("root", "doc_id", "rid"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"))).alias("first")
-    stay = found.groupBy("root").agg(first).select("first._id", "first._rid")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_rid"))
-    once = docs.join(stay, same, "left_semi")
-    return once.dropDuplicates(["doc_id", "text"])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(x)]) for x in ("doc_id", "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")
+    stay = similar(docs, shingle, similarity).groupBy("root").agg(first).select("first.doc_id", "first.rid")
+    stay = Scratch(docs.sparkSession).put("stay", stay.select(F.col("doc_id").alias("stay_id"), F.col("rid").alias("stay_rid")))
+    rows = docs.toDF(*names).withColumns({"own_id": doc_id.cast("long"), "own_rid": F.xxhash64(text.cast("string"))})
+    once = rows.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_rid") == F.col("stay_rid")), "left_semi")
+    return once.dropDuplicates(["own_id", "own_rid"]).select(*names).toDF(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

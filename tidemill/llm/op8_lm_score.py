@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._spark import Scratch, column, slices, table, tune
+from tidemill.llm._text import cut
 
 FOLDS, HELD = 7, 2
 HOT, HOT_BYTES = 131_072, 64
@@ -47,21 +48,6 @@ _SMOOTH = 0.5
 END = b"\n"
 
 
-def cut(col: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Which word stands at each place, the distinct words, and where each text starts (and the last ends)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(col, "")))
-    flat, rows = split.flatten(), split.offsets.to_numpy().astype(np.int64)
-    rows = rows - rows[0]
-    told = flat.dictionary_encode()
-    which, words = told.indices.to_numpy().astype(np.int64), told.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in words:  # white space at the ends of a text gives empty words
-        void = words.index(b"")
-        keep = which != void
-        rows = np.concatenate([[0], np.cumsum(keep)])[rows]
-        which = which[keep]
-    return which, words, rows
-
-
 class Vocabulary:
     """Counts of the common words, and target, buckets and logarithm of each."""
 
