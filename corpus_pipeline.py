@@ -4,9 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next one's docs. All but the last return the columns of documents. Nulls, empty texts, repeated rows,
 empty tables and further columns are dealt with as the operators' own docstrings say:
 
-* language: documents without a known language (null text, no letter) go; the classifier is fitted on a
-  bounded sample of the labelled rows of the table itself.
-* near_duplicates: one document of each group of similar texts stays (five-word shingles, 0.8).
+* language: the classifier is fitted on a bounded sample of the labelled rows of the table itself; documents
+  whose language isn't known (null text, no letter, or none of the learned languages claims the text: see
+  ``op7_language_id.accept``) go, and a null lang gets the language found.
+* near_duplicates: one document of each group of similar texts stays (sets of five-word shingles with a Jaccard
+  similarity of 0.8 or more, found by Golay keys of SimHash fingerprints and, for the rest, exactly).
 * decontamination: documents that hold a benchmark window go.
 * secrets: live-looking secrets are masked, widely copied examples stay; no document goes.
 * tokens: doc_id, lang, source, the text's byte-level BPE ids, their number, and the decoded text's digest.
@@ -61,6 +63,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, each written in the shared folder and read again."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.put(name, stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -184,6 +184,13 @@ def test_secrets_place_and_ownership(spark, edges):
     assert any(d == 7 and x[0][0] == "assign" and x[0][3] == 1 for d, x in got)
 
 
+def test_secrets_of_many_repositories_are_examples(spark):
+    n = op3_secret_scan.COMMON_REPOSITORIES
+    docs = spark.createDataFrame([(i, f"password={KEY}", "a") for i in range(n)] + [(n + i, f"password={KEY[::-1]}", "a") for i in range(n - 1)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in op3_secret_scan.redact(docs).collect()}
+    assert got[0] == f"password={KEY}" and got[n] == "[SECRET]"
+
+
 def test_widely_copied_examples_stay(spark):
     docs = spark.createDataFrame([(i, f"api_key={KEY} é", f"s{i}") for i in range(5)] + [(9, f"x token='{KEY[::-1]}' y api_key={KEY}", "z")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in op3_secret_scan.redact(docs).collect()}
@@ -266,8 +273,7 @@ def test_similar_joins_what_the_shingles_join(spark):
     want = {i: min(c) for c in _classes(len(texts), ties) for i in c}
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in op4_simhash.similar(docs).collect()}
-    assert all(want[i] == want[got[i]] for i in got)  # nothing is joined that no chain of 0.8 joins
-    assert sum(got[i] == got[j] for i, j in ties) >= 0.95 * len(ties)
+    assert got == want
 
 
 def test_similar_finds_every_variant_of_a_hub(spark):
@@ -290,6 +296,31 @@ def test_a_line_repeated_in_two_texts_does_not_join_them(spark):
     same(op4_simhash.similar(docs).select("doc_id", "component_id"), [(1, 1), (2, 2), (3, 1)])
 
 
+def test_texts_dominated_by_one_word_are_kept_apart(spark):
+    texts = [" ".join(["spam"] * 400 + [f"{x}{i}" for i in range(120)]) for x in "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert op4_simhash.keep_one(docs).count() == 3
+
+
+def test_similar_loses_no_link_within_a_large_family(spark):
+    rnd = np.random.default_rng(3)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(600):  # two members of each pair differ by a word; pairs differ from each other by some six
+        w = list(base)
+        for at in rnd.choice(150, 6, replace=False).tolist():
+            w[at] = f"x{rnd.integers(1 << 40)}"
+        texts.append(w)
+        w = list(w)
+        w[int(rnd.integers(0, 150))] = f"y{rnd.integers(1 << 40)}"
+        texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    ties = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(ties) >= 600
+    want = {i: min(c) for c in _classes(len(texts), ties) for i in c}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in op4_simhash.similar(docs).collect()} == want
+
+
 def test_similar_with_nulls_and_short_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (None, "one"), (None, "lone"), (6, "two words"), (7, "two others"), (7, "another text of that id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -354,6 +385,70 @@ def test_languages(spark, folder):
     assert [found[x] for x in (1, 2, 6)] == ["und"] * 3 and found[4] != "und"
 
 
+def _bins(text, n):
+    raw = text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    codes = {int.from_bytes(raw[i : i + n], "big") for i in range(len(raw) - n + 1)}
+    bits = op7_language_id.BINS[n].bit_length() - 1
+    return codes if n == 1 else {(c * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits for c in codes}
+
+
+def _kernel(x, y):
+    total = 0.0
+    for n in op7_language_id.BINS:
+        a, b = _bins(x, n), _bins(y, n)
+        total += len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b)))
+    return total
+
+
+def test_language_scores_equal_a_kernel_worked_out_by_sets(spark, monkeypatch):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").collect() if r["text"]]
+    learn, ask = rows[:60], [r["text"] for r in rows[60:90]] + ["", "é", "Ab ab AB"]
+    monkeypatch.setattr(op7_language_id, "LANDMARKS", 24)
+    texts, labels = [r["text"] for r in learn], [r["lang"] for r in learn]
+    model = op7_language_id.solve(op7_language_id.presence(pa.array(texts)), labels)
+    turn, order = Counter(), []
+    for i, x in enumerate(labels):
+        order.append((turn[x], i))
+        turn[x] += 1
+    mark = [i for _, i in sorted(order)[:24]]
+    k = np.array([[_kernel(x, texts[m]) for m in mark] for x in texts])
+    y = np.array([[1.0 if x == g else -1.0 for g in model.languages] for x in labels])
+    # Ridge regression over functions spanned by the landmarks, penalised by their norm in the kernel's space.
+    alpha = np.linalg.lstsq(k.T @ k + op7_language_id.RIDGE * len(texts) * k[mark], k.T @ y, rcond=1e-12)[0]
+    want = np.array([[_kernel(x, texts[m]) for m in mark] for x in ask]) @ alpha
+    assert np.abs(model.scores(pa.array(ask)) - want).max() < 1e-3
+    names, score, value = model.predict(pa.array(ask))
+    assert names[-3] == "und" and score[-3] == 0 and names[-1] != "und"
+    soft = np.exp(op7_language_id.SHARP * want)
+    assert np.abs(score[:30] - (soft / soft.sum(1, keepdims=True)).max(1)[:30]).max() < 1e-2
+    assert names[:30] == [model.languages[i] for i in want[:30].argmax(1)]
+
+
+def test_language_stage_keeps_learned_languages_and_rejects_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op7_language_id.fit(docs, ~op7_language_id.held_out())
+    held = docs.where(op7_language_id.held_out())
+    assert op7_language_id.accept(held, model).count() >= 0.995 * held.count()
+    other = [
+        "Il governo italiano ha deciso di aumentare le tasse per tutti i cittadini della repubblica. " * 3,
+        "Suomen kieli on uralilainen kieli jota puhutaan Suomessa ja muualla maailmassa. " * 3,
+        "0101010 0x9f 0x33 a;;; {}{}[]() // ==== 12345 " * 10,
+        "pkftudhcyznirjky lnollkmpqalejfjserwxe qzxv jkwq vbnm zxcv qwrt plkj hgfd sdfg " * 3,
+        "", "123 ...", None,
+    ]
+    rows = spark.createDataFrame([(i, t, "en", i) for i, t in enumerate(other)] + [(99, held.first()["text"], None, 5)], "doc_id long, text string, lang string, lang_pred long")
+    got = op7_language_id.accept(rows, model).collect()
+    assert [(r["doc_id"], r["lang"]) for r in got] == [(99, held.first()["lang"])]
+    en = op7_language_id.accept(held, model, languages=["en"])
+    assert en.where("lang <> 'en'").count() <= 0.01 * held.count() < en.count()
+
+
+def test_language_fit_takes_each_id_once(spark):
+    rows = [(1, "the cat and the dog", "en")] * 500 + [(1, f"the cat and {i}", "en") for i in range(50)] + [(2, "der Hund und die Katze", "de")] * 3 + [(3, "x", f"junk{i}") for i in range(90)]
+    model = op7_language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == op7_language_id.LANGUAGES and {"en", "de"} <= set(model.languages)
+
+
 def test_lm_scores(spark, sf, folder):
     for d in (sf, folder):
         docs = [(x, [*SPACED.findall((t or "").translate(LOWER)), "\n"]) for x, t, *_ in documents(spark, d)]
@@ -486,25 +581,39 @@ def test_media_decoder_reads_any_coefficients():
     assert np.abs(p.rgb()[:8, :8, 0] - want).max() <= 1
 
 
-def test_pipeline_against_its_operators_by_hand(spark, sf, folder):
+def test_pipeline_against_brute_force(spark, sf, folder):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    # Language: the classifier by itself (held to brute force above) decides.
+    model = op7_language_id.fit(docs, F.lit(True))
+    names, score, value = model.predict(pa.array(list(rows.values())))
+    stay = [d for d, g, s, v in zip(rows, names, score, value, strict=True) if g != "und" and s >= op7_language_id.LEAST_SCORE and v >= op7_language_id.LEAST_VALUE]
+    # Near duplicates: all pairs.
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d in stay for w in [rows[d].lower().split()]}
+    order = sorted(stay)
+    ties = [(i, j) for i, x in enumerate(order) for j in range(i) for a, b in [(shingles[x], shingles[order[j]])] if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)]
+    stay = [order[min(c)] for c in {id(c): c for c in _classes(len(order), ties)}.values()]
+    # Decontamination.
     items = [ALNUM.findall(r["text"].translate(LOWER)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    grams = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9))}
-    leaked = {d for d, t in rows.items() for w in [ALNUM.findall(t.translate(LOWER))] if any(tuple(w[i : i + 10]) in grams for i in range(len(w)))}
-    assert not leaked & set(out)
-    texts = Counter(rows[d] for d in out)
-    assert max(texts.values()) == 1  # no copy is left
-    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in rows.items() for w in [t.lower().split()]}
-    for d in set(rows) - set(out) - leaked:  # whatever else went is much like something that was there
-        assert max(len(shingles[d] & s) / max(1, len(shingles[d] | s)) for x, s in shingles.items() if x != d) >= 0.5
+    grams = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(g) for g in grams}
+    stay = [d for d in stay for w in [ALNUM.findall(rows[d].translate(LOWER))] if not any(tuple(w[i : i + n]) in grams for n in sizes for i in range(len(w) - n + 1))]
+    assert sorted(stay) == sorted(out)
+    # Tokens of texts that hold nothing like a secret.
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    clean = [d for d in out if not re.search("(?i)(password|secret|token|key)|[0-9a-f]{16}", rows[d])]
-    for d in clean[:50]:
-        assert out[d]["ids"] == tok.encode(rows[d], add_special_tokens=False).ids
+    clean = [d for d in out if not re.search("(?i)(password|passwd|secret|token|key)|[0-9a-f]{16}|[a-z0-9_+/-]{24}", rows[d])]
+    assert len(clean) > 100
+    for d in clean:
+        assert out[d]["ids"] == tok.encode(rows[d], add_special_tokens=False).ids and out[d]["decoded_sha256"] == sha(rows[d])
     # Stages return the columns of documents and take the edges.
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
         assert got.columns == spark.read.parquet(f"{folder}/documents.parquet").columns and got.count() <= len(EDGES)
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_rows_keep_clashing_columns(spark, edges):
+    for got in (op1_substring_dedup.remove_repeats(edges), op4_simhash.keep_one(edges), op3_secret_scan.redact(edges)):
+        assert got.columns == edges.columns
+        assert {tuple(r[c] for c in EXTRA) for r in got.collect()} == {("clash",) * len(EXTRA)}

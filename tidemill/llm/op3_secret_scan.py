@@ -2,8 +2,8 @@
 
 Candidates are cut from whole texts by regular expressions; a match's place follows from the lengths of
 the pieces between matches. All candidates are hashed and counted over the corpus by distinct
-repositories and owners. A value held by ``COMMON_OWNERS`` owners or more is a widely copied example; one
-held by fewer, with ``VARIETY`` distinct characters or more, looks live. Base kinds (assign, access, hex)
+repositories and owners. A value held by ``COMMON_OWNERS`` owners or more, or in ``COMMON_REPOSITORIES``
+repositories or more of whatever owners, is a widely copied example; one held by fewer, with ``VARIETY`` distinct characters or more, looks live. Base kinds (assign, access, hex)
 are always reported; the method's own kind ``owned`` (long mixed strings that no base pattern asks for)
 is reported only where it looks live and belongs to one owner.
 
@@ -33,7 +33,7 @@ KINDS = {
     "owned": (r"[A-Za-z0-9_+/-]{24,}", 0, 24),
 }
 BASE = ("assign", "access", "hex")
-COMMON_OWNERS, VARIETY = 3, 8
+COMMON_OWNERS, COMMON_REPOSITORIES, VARIETY = 3, 100, 8
 
 _SPAN = "array<struct<first:int,ord:int,last:int,kind:string,value:string>>"
 
@@ -55,7 +55,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", x["kind"], x["first"].cast("string"), x["last"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", common: int = COMMON_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", common: int = COMMON_OWNERS, copies: int = COMMON_REPOSITORIES) -> DataFrame:
     """Per row: doc_id, rid (hash of the text), n_assign, n_access, n_hex, base_sha256, and found: all
     spans (first, ord, last, kind, value, owners, repositories, live), sorted by place and kind."""
     scratch = Scratch(docs.sparkSession)
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", com
     counts = held.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
     counts = scratch.put("held", counts)
     variety = F.size(F.array_distinct(F.split("s.value", "")))
-    judged = every.join(counts, "hash").withColumn("live", (F.col("owners") < common) & (variety >= VARIETY))
+    judged = every.join(counts, "hash").withColumn("live", (F.col("owners") < common) & (F.col("repositories") < copies) & (variety >= VARIETY))
     judged = judged.where((F.col("s.kind") != "owned") | (F.col("live") & (F.col("owners") == 1)))
     span = F.struct(*(F.col(f"s.{c}").alias(c) for c in ("first", "ord", "last", "kind", "value")), "owners", "repositories", "live")
     per = judged.groupBy("k", "rid").agg(F.sort_array(F.collect_set(span)).alias("found"))
@@ -79,16 +79,19 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", com
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
     """The documents with each run of live-looking spans replaced by ``mask``. Widely copied examples stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(x)] for x in ("doc_id", "text"))
     found = scan(docs, owner, repository)
     live = F.filter("found", lambda x: x["live"])
-    found = found.where(F.size(live) > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("rid").alias("_rid"), live.alias("_live")).dropDuplicates(["_k", "_rid"])
-    masked = f"""aggregate(_live, named_struct('at', 0, 'out', ''),
+    found = found.where(F.size(live) > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("k"), "rid", live.alias("live")).dropDuplicates(["k", "rid"])
+    masked = f"""aggregate(live, named_struct('at', 0, 'out', ''),
       (acc, x) -> CASE WHEN x.last <= acc.at THEN acc WHEN x.first < acc.at THEN named_struct('at', x.last, 'out', acc.out)
-        ELSE named_struct('at', x.last, 'out', concat(acc.out, substring(text, acc.at + 1, x.first - acc.at), '{mask}')) END,
-      acc -> concat(acc.out, substring(text, acc.at + 1)))"""
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("_k")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_rid"))
-    joined = docs.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("_live").isNotNull(), F.expr(masked)).otherwise(F.col("text"))).select(*docs.columns)
+        ELSE named_struct('at', x.last, 'out', concat(acc.out, substring({text}, acc.at + 1, x.first - acc.at), '{mask}')) END,
+      acc -> concat(acc.out, substring({text}, acc.at + 1)))"""
+    rows = docs.toDF(*names)
+    same = (F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)) == F.col("k")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("rid"))
+    joined = rows.join(found, same, "left")
+    return joined.withColumn(text, F.when(F.col("live").isNotNull(), F.expr(masked)).otherwise(F.col(text))).select(*names).toDF(*docs.columns)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +100,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda keep: F.coalesce(F.size(F.filter("found", keep)), F.lit(0)).cast("long")
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"),
-        n(lambda x: x["live"]).alias("n_live"), n(lambda x: x["owners"] >= COMMON_OWNERS).alias("n_example"),
+        n(lambda x: x["live"]).alias("n_live"), n(lambda x: (x["owners"] >= COMMON_OWNERS) | (x["repositories"] >= COMMON_REPOSITORIES)).alias("n_example"),
     )
 
 
@@ -121,14 +124,14 @@ spans AS (
   SELECT r, ord, kind, value, cast(first AS bigint) AS first, cast(first + n AS bigint) AS last, doc_id, source FROM placed JOIN docs USING (r)
   WHERE length(value) >= least AND (kind <> 'owned' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))
 ),
-held AS (SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM spans GROUP BY value),
+held AS (SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS repositories FROM spans GROUP BY value),
 judged AS (
-  SELECT *, owners < {COMMON_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {VARIETY} AS live FROM spans JOIN held USING (value)
+  SELECT *, owners < {COMMON_OWNERS} AND repositories < {COMMON_REPOSITORIES} AND len(list_distinct(string_split(value, ''))) >= {VARIETY} AS live FROM spans JOIN held USING (value)
 ),
 kept AS (SELECT * FROM judged WHERE kind <> 'owned' OR (live AND owners = 1)),
 per AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-    {joined} FILTER (kind <> 'owned') AS base, {joined} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {COMMON_OWNERS}) AS n_example
+    {joined} FILTER (kind <> 'owned') AS base, {joined} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {COMMON_OWNERS} OR repositories >= {COMMON_REPOSITORIES}) AS n_example
   FROM kept GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,

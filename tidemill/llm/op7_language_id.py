@@ -6,13 +6,20 @@ are added up. Landmarks drawn from the sample give Nystroem features, on which o
 ridge regression is solved. Since the kernel is linear in the presence vectors, landmarks and weights
 fold into one matrix per n, and a batch of texts is scored by one matrix product each.
 
-The classifier is fitted on at most ``SAMPLE`` labelled texts per language (those with the smallest hash
-of doc_id); everything else covers all texts, whole. Presence vectors are made on the executors, so what
-reaches the driver is of fixed size per sampled text, however long the text. Languages are assumed few.
+The classifier is fitted on at most ``SAMPLE`` labelled texts (doc_ids with the smallest hash) of each of the
+``LANGUAGES`` commonest labels; everything else covers all texts, whole. Presence vectors are made on the
+executors, so what reaches the driver is of fixed size per sampled doc_id, however long its text and however
+often its rows repeat.
+
+``accept`` keeps the texts whose language is known: the score (a softmax over the languages' regression
+values) is ``LEAST_SCORE`` or more, so that one language outweighs all others together, and the best value is
+``LEAST_VALUE`` or more, so that its own classifier (1 for its texts, -1 for others) doesn't reject the text.
+Others, as text in a language that wasn't learned, strings of digits or letters at random, go. On held-out
+texts of the learned languages both bounds lie below every value seen but for texts of a word or two.
 
 Defined results: a text that is null or holds no letter has language ``und`` and score 0, as has every
-text if no labelled row can be learned from. Ties go to the language that sorts first. Score is a softmax
-over the languages' regression values. Null labels, texts or ids are never learned from; repeated rows
+text if no labelled row can be learned from. Ties go to the language that sorts first. Null labels, texts or
+ids are never learned from; of a doc_id's different texts the one with the smallest vector is. Repeated rows
 get repeated results; extra columns are ignored (``predict``) or kept (``accept``).
 """
 
@@ -29,6 +36,9 @@ from tidemill.llm._text import LOWER, buffers
 BINS = {1: 256, 2: 4096, 3: 16384}
 #: Bounds of the fit: labelled texts per language, landmarks in all; ridge and softmax scale.
 SAMPLE, LANDMARKS, RIDGE, SHARP = 150, 240, 1e-3, 6.0
+LANGUAGES = 64
+#: What ``accept`` asks of a text's score and of its best regression value.
+LEAST_SCORE, LEAST_VALUE = 0.5, -0.2
 UNKNOWN = "und"
 FOLDS = 5
 _ROWS = 256
@@ -85,15 +95,16 @@ class Model:
                 out[a : a + _ROWS] += (x @ self.weights[n]) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
         return out
 
-    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and best regression value of each text."""
         n = len(col)
         if not self.languages:
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.full(n, -1.0)
         known = has_letter(col)
-        raw = self.scores(col).astype(np.float64) * SHARP
+        raw = self.scores(col).astype(np.float64)
         best = raw.argmax(1)
-        score = 1 / np.exp(raw - raw.max(1, keepdims=True)).sum(1)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
+        score = 1 / np.exp(SHARP * (raw - raw.max(1, keepdims=True))).sum(1)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0), raw.max(1)
 
 
 def solve(vectors: dict[int, np.ndarray], labels: list[str]) -> Model:
@@ -125,12 +136,12 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model([], {})
     # Hashes under a bound that lets through about twice the sample; all rows of a language that has few.
     bound = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int((1 << 30) * min(1.0, 2 * sample / n + 1e-6)))) for x, n in counts.items()))
-    near = ids.where(F.col("h") < bound).collect()
+    near = ids.where(F.col("h") < bound).distinct().collect()
     chosen: dict[str, list] = {}
     for r in sorted(near, key=lambda r: (r["h"], r["doc_id"])):
         got = chosen.setdefault(r["lang"], [])
@@ -148,7 +159,8 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
 
     seen = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     seen = seen.join(F.broadcast(picked), F.col("doc_id") == F.col("_pick"), "left_semi").mapInArrow(run, "doc_id long, lang string, bits binary")
-    got = sorted({(r["doc_id"], r["lang"], bytes(r["bits"])) for r in seen.collect()})
+    seen = seen.where(F.col("lang").isin(list(counts))).groupBy("doc_id", "lang").agg(F.min("bits").alias("bits"))
+    got = sorted((r["doc_id"], r["lang"], bytes(r["bits"])) for r in seen.collect())
     bits = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, _, b in got]), axis=1)
     at, vectors = 0, {}
     for n, bins in BINS.items():
@@ -165,23 +177,29 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", _AT_ONCE):
-                names, score = known.value.predict(column(part, "text"))
+                names, score, _ = known.value.predict(column(part, "text"))
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The documents, all columns, whose language is known with a score of ``least`` or more."""
+def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = LEAST_SCORE, value: float = LEAST_VALUE) -> DataFrame:
+    """The documents, all columns, whose language is known (see above) and, if ``languages`` is given, one of these.
+    Where a string column lang is null, it gets the language found."""
     tune(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
+    fill = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else -1
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", _AT_ONCE):
-                names, score = known.value.predict(column(part, "text"))
-                yield part.filter(pa.array([g != UNKNOWN and s >= least for g, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+                names, score, best = known.value.predict(column(part, "text"))
+                keep = [g != UNKNOWN and s >= least and v >= value and (languages is None or g in languages) for g, s, v in zip(names, score.tolist(), best.tolist(), strict=True)]
+                if fill >= 0 and part.column(fill).null_count:
+                    got = pa.array([g if x is None else x for g, x in zip(names, part.column(fill).to_pylist(), strict=True)], part.column(fill).type)
+                    part = pa.RecordBatch.from_arrays([got if j == fill else c for j, c in enumerate(part.columns)], schema=part.schema)
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
