@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, slices, table, tune
+from tidemill.llm._spark import column, lean, slices, table, tune
 
 UNIT, PAD = 576, 255
 #: Spectral bands of the AC scans.
@@ -409,6 +409,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the text) and media: the text's payload as a progressive JPEG."""
     tune(docs.sparkSession)
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -425,6 +426,7 @@ def load(rows: DataFrame, media: str = "media", tensor: bool = True) -> DataFram
     rows = rows.drop("payload", "height", "width", "red", "green", "blue", "rgb")
     names = rows.columns
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, media):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import Scratch, column, slices, table, tune
+from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
 from tidemill.llm._text import SPACED, Windows, fits, sliding, word_hashes, words
 
 WINDOW = 50
@@ -60,6 +60,7 @@ def anchors(hashes: np.ndarray, valid: np.ndarray, half: int, window: int) -> np
 def _scan(window: int):
     half = window - window // 2
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -103,6 +104,7 @@ def _windows(window: int):
     """The full windows around repeated half windows, by the first 128 bits of the SHA-256 of their words."""
     reach = window - (window - window // 2)
 
+    @lean
     def run(batches):
         for batch in batches:
             for text, at, doc_id, rid in zip(column(batch, "text").to_pylist(), _ragged(column(batch, "at")), column(batch, "doc_id").to_pylist(), column(batch, "rid").to_pylist(), strict=True):
@@ -126,6 +128,7 @@ def _windows(window: int):
 def _cut(window: int):
     """Word spans covered by removed windows, and the digest of what is left."""
 
+    @lean
     def run(batches):
         for batch in batches:
             out = {k: [] for k in ("n_removed", "spans", "kept_sha256")}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, slices, table, tune
+from tidemill.llm._spark import column, lean, slices, table, tune
 from tidemill.llm._text import ALNUM, word_hash, word_hashes, words
 
 #: phrase -> label
@@ -131,6 +131,7 @@ def scan(docs: DataFrame, templates=None, phrases=None) -> DataFrame:
     tune(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(Licenses(templates or TEMPLATES, phrases))
 
+    @lean
     def run(batches):
         lic = known.value
         base = [(np.array([lic.id[x] for x in p]), label) for p, label in lic.phrases]

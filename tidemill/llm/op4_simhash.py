@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
-from tidemill.llm._spark import Scratch, column, slices, table, tune
+from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
 from tidemill.llm._text import U64, cut, mix
 
 SHINGLE, BITS, DISTANCE, SEED = 4, 64, 4, 42
@@ -148,6 +148,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> D
     tune(docs.sparkSession)
     names = _names(bits)
 
+    @lean
     def run(batches):
         for batch in batches:
             got = [fingerprint(t, shingle, bits) for t in column(batch, "text").to_pylist()]
@@ -163,6 +164,7 @@ def _keys(bits: int, carry: list[str]):
     cuts, use = segments(bits), pairs(bits)
     names = _names(bits)
 
+    @lean
     def run(batches):
         golay = Golay()
         for batch in batches:
@@ -224,6 +226,7 @@ def _link(names: list[str], most: int, short: int = 12):
             both = np.unique(np.stack([*(f[i] for f in fp), *(f[j] for f in fp)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], names=[*(f"a{n}" for n in names), *(f"b{n}" for n in names)])
 
+    @lean
     def run(batches):
         held: list[list[np.ndarray]] = []
         rows = 0
@@ -279,6 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _alike(similarity: float):
     """The rows whose two shingle sets have at least that Jaccard similarity."""
 
+    @lean
     def run(batches):
         for batch in batches:
             keep = []
@@ -335,9 +339,10 @@ def _i64(x: list[int] | np.ndarray) -> pa.Array:
 def _sketches(shingle: int):
     """doc_id, rid, node (XXH64 of the set), n (its size), f0 (its fingerprint) and the set's bytes."""
 
+    @lean
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 got = shingle_sets(column(part, "text"), shingle)
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "doc_id"), column(part, "rid"), _i64([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in got]), pa.array([len(s) for s in got], pa.int64()), _i64([majority(s) for s in got]), pa.array([s.tobytes() for s in got], pa.binary())],
@@ -350,6 +355,7 @@ def _sketches(shingle: int):
 def _common(found: DataFrame) -> np.ndarray:
     """How often shingles of each bucket (the hash's first 16 bits) stand in the sets: 2^16 numbers, whatever the corpus."""
 
+    @lean
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -357,6 +363,7 @@ def _common(found: DataFrame) -> np.ndarray:
                 total += np.bincount(np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(48), minlength=1 << 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in total.reshape(16, -1)], pa.binary())], names=["part", "raw"])
 
+    @lean
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -376,6 +383,7 @@ def _prefixes(common, similarity: float):
     """(h, node, n, pos) of each set's rarest shingles. Sets alike share ceil(similarity * n) shingles of the larger at
     least, hence one of the n - ceil(similarity * n) + 1 that come first in any order that is the same for all."""
 
+    @lean
     def run(batches):
         for batch in batches:
             held: list[list[np.ndarray]] = []
@@ -403,6 +411,7 @@ def _stars(many: int, similarity: float):
     lie in another component and may be alike, and the rows after them (bin, node, null)."""
     names = ("bin", "node", "comp", "n", "pos")
 
+    @lean
     def run(batches):
         head = [np.zeros(0, np.int64)] * len(names)  # the first rows of the bin that may go on
         for batch in batches:
@@ -461,9 +470,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    every = scratch.put("sketches", rows.mapInArrow(_sketches(shingle), "doc_id long, rid long, node long, n long, f0 long, s binary"))
+    every = rows.mapInArrow(_sketches(shingle), "doc_id long, rid long, node long, n long, f0 long, s binary")
+    every = scratch.put("sketches", every.withColumn("uid", F.monotonically_increasing_id()))
     found = every.select("doc_id", "rid", "node")
-    nodes = scratch.put("nodes", every.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0")))
+    nodes = scratch.put("nodes", every.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.min("uid").alias("uid")))
 
     # Bins of the exact way: shingles that stand in the prefixes of several nodes.
     common = spark.sparkContext.broadcast(_common(every))
@@ -472,12 +482,14 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     left = prefix.join(shared, "h", "left_semi").groupBy(F.col("h").alias("bin"), "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     left = scratch.put("bins", left)
     scratch.drop("prefixes", "shared")
-    sets = every.select("node", "s").join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
-    sets = scratch.put("sets", sets)
-
     def settle(name: str, some: DataFrame) -> DataFrame:
-        full = some.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-        return scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
+        ends = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()
+        asked = scratch.put("asked", ends.join(nodes, "node").select("uid"))  # one row, hence one set, of each
+        ends = scratch.put("ends", every.join(asked, "uid", "left_semi").select("node", "s"))
+        full = some.join(ends.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(ends.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+        full = scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
+        scratch.drop("ends", "asked")
+        return full
 
     tried = _proposed(scratch, nodes)
     links = settle("links0", tried)
@@ -488,11 +500,12 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
         told = left.join(root.withColumnRenamed("u", "node"), "node", "left").join(ends.groupBy("node").agg(F.count("*").alias("ties")), "node", "left")
         told = scratch.put(f"told{k}", told.select("bin", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("ties", F.lit(0)).alias("ties")))
-        apart = told.groupBy("bin").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bin")
-        open_ = told.join(scratch.put(f"apart{k}", apart), "bin", "left_semi")
-        stars = open_.repartition("bin").sortWithinPartitions("bin", F.desc("ties"), "node").mapInArrow(_stars(many, similarity), "bin long, u long, v long, n long, pos long")
+        if k > 1:
+            apart = told.groupBy("bin").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bin")
+            told = told.join(scratch.put(f"apart{k}", apart), "bin", "left_semi")
+        stars = told.repartition("bin").sortWithinPartitions("bin", F.desc("ties"), "node").mapInArrow(_stars(many, similarity), "bin long, u long, v long, n long, pos long")
         stars = scratch.put(f"stars{k}", stars)
-        scratch.drop(f"told{k}", f"apart{k}")
+        scratch.drop(f"told{k}", *([f"apart{k}"] if k > 1 else []))
         left = stars.where("bin is not null").select("bin", F.col("u").alias("node"), "n", "pos")
         pairs = stars.where("bin is null").select("u", "v").distinct()
         pairs = scratch.put(f"pairs{k}", pairs.join(tried, ["u", "v"], "left_anti"))

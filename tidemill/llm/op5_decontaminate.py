@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, slices, table, tune
+from tidemill.llm._spark import column, lean, slices, table, tune
 from tidemill.llm._text import ALNUM, Windows, fits, word_hashes, words
 
 N = 10
@@ -107,6 +107,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     tune(docs.sparkSession)
     blocks = _blocks(benchmark, n)
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -126,6 +127,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool = False
     tune(docs.sparkSession)
     blocks = _blocks(benchmark, n)
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, new_path, slices, table, tune
+from tidemill.llm._spark import column, lean, new_path, slices, table, tune
 
 END_ID = 2
 _INDEX, _SEEK, _FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -216,6 +216,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
+    @lean
     def run(batches):
         task = TaskContext.get().partitionId()
         enc, out, fs, name, tmp, stream = _encoder(tokenizer), None, None, "", "", None
@@ -257,6 +258,7 @@ def read(spark: SparkSession, files: Iterable[tuple[str, int, int]]) -> DataFram
     if len(rows) > 1:
         listed = listed.repartition(len(rows))
 
+    @lean
     def run(batches):
         for batch in batches:
             for path, base in zip(column(batch, "path").to_pylist(), column(batch, "base").to_pylist(), strict=True):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, slices, table, tune
+from tidemill.llm._spark import column, lean, slices, table, tune
 from tidemill.llm._text import LOWER, buffers
 
 BINS = {1: 256, 2: 4096, 3: 16384}
@@ -41,9 +41,9 @@ LANGUAGES = 64
 LEAST_SCORE, LEAST_VALUE = 0.5, -0.2
 UNKNOWN = "und"
 FOLDS = 5
-_ROWS = 256
+_ROWS = 128
 #: Bytes of text whose n-grams are coded at once.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 
 
 def presence(col: pa.Array) -> dict[int, np.ndarray]:
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
             got.append(r["doc_id"])
     picked = spark.createDataFrame([(d,) for x in chosen.values() for d in x], "_pick long").distinct()
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", _AT_ONCE):
@@ -174,6 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     tune(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", _AT_ONCE):
@@ -191,6 +193,7 @@ def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, le
     known = docs.sparkSession.sparkContext.broadcast(model)
     fill = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else -1
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", _AT_ONCE):

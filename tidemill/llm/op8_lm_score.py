@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import Scratch, column, slices, table, tune
+from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
 from tidemill.llm._text import cut
 
 FOLDS, HELD = 7, 2
@@ -103,6 +103,7 @@ def _merge(tables: list[pa.Table], keys: list[str]) -> pa.Table:
     return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
 
 
+@lean
 def _word_counts(batches):
     held: list[pa.Table] = []
     size = 0
@@ -127,6 +128,7 @@ def _word_counts(batches):
 def _context_counts(vocabulary):
     """Rows (kind, key, n): 0 context * 32 + class, 1 previous * 1024 + target, 2 skip * 1024 + target."""
 
+    @lean
     def run(batches):
         v = vocabulary.value
         total = [np.zeros(CONTEXTS * 32, np.int64), np.zeros(PREV * 1024, np.int64), np.zeros(SKIP * 1024, np.int64)]
@@ -210,6 +212,7 @@ def train(counts: DataFrame, seen: list[np.ndarray], updates: int = UPDATES) ->
     for _ in range(updates):
         now = spark.sparkContext.broadcast(w)
 
+        @lean
         def run(batches, now=now):
             total = None
             for batch in batches:
@@ -261,6 +264,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 
 def _score(vocabulary, weights, key: str):
+    @lean
     def run(batches):
         v = vocabulary.value
         if weights is not None and key not in _SCORERS:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._spark import column, slices, table, tune
+from tidemill.llm._spark import column, lean, slices, table, tune
 
 #: Unicode white space, and the public pattern with it spelt out.
 _W = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -155,6 +155,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     names = docs.columns
     more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
+    @lean
     def run(batches):
         bpe = load(tokenizer)
         for batch in batches:
@@ -176,6 +177,7 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "de
     rows = rows.drop(decoded)
     names = rows.columns
 
+    @lean
     def run(batches):
         bpe = load(tokenizer)
         for batch in batches:
