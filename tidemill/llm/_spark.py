@@ -60,6 +60,11 @@ class Scratch:
         for name in names:
             delete(self.spark, self.paths.pop(name))
 
+    def release(self) -> None:
+        """Let the driver find the shuffles that no plan needs any more, so that their files are deleted now, not at
+        some later collection of the driver's garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def last(self, name: str, df: DataFrame) -> DataFrame:
         """Write the result and delete all other tables; the result's own table stays for its readers."""
         before = [*self.paths.values(), *self.old]

@@ -19,7 +19,8 @@ finds: two sets that alike share one of their rarest shingles at least (prefix f
 exact, the one used has the commonest last, by a table of counts of fixed size). Nodes that share such a
 shingle are a bin. Bins are searched in rounds: some rows of each are compared with all others of another
 component, those with most links first, and leave it, until each bin is empty or one component. So no pair
-of that similarity is lost, none is joined without its sets having been compared, and nothing is capped.
+of that similarity is lost, none is joined without its sets having been compared, and nothing is capped. Pairs are compared by parities of their sets first (2,048 bits, which can only tell sets
+apart that are), then by the sets.
 
 Defined results: null or empty texts have fingerprint zero and link like any other. Rows with a null
 doc_id take part in links but are never a component_id unless all of a component's ids are null (then it
@@ -42,6 +43,7 @@ from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
 from tidemill.llm._text import U64, cut, mix
 
 SHINGLE, BITS, DISTANCE, SEED = 4, 64, 4, 42
+PARITY = 2048
 #: Generator of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 _GENERATOR = 0xAE3
 
@@ -279,6 +281,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return scratch.last("near", out.select("doc_id", "rid", "f0", "component_id"))
 
 
+def _near(similarity: float):
+    """The pairs whose sets may have at least that Jaccard similarity by their parities."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bu", "bv"))
+                apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+                n = column(batch, "nu").to_numpy() + column(batch, "nv").to_numpy()
+                yield batch.select(["u", "v"]).filter(pa.array(apart * (1 + similarity) <= (1 - similarity) * n + 1e-6))
+
+    return run
+
+
 def _alike(similarity: float):
     """The rows whose two shingle sets have at least that Jaccard similarity."""
 
@@ -332,12 +349,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """``PARITY`` bits, each the parity of how many hashes fall to it: two sets differ in at least as many elements as
+    their parities in bits."""
+    n = np.bincount(hashes & U64(PARITY - 1), minlength=PARITY)
+    return np.packbits(n & 1).tobytes()
+
+
 def _i64(x: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
 def _sketches(shingle: int):
-    """doc_id, rid, node (XXH64 of the set), n (its size), f0 (its fingerprint) and the set's bytes."""
+    """doc_id, rid, node (XXH64 of the set), n (its size), f0 (its fingerprint), b (its parities) and the set's bytes."""
 
     @lean
     def run(batches):
@@ -345,8 +369,8 @@ def _sketches(shingle: int):
             for part in slices(batch, "text", 1 << 19):
                 got = shingle_sets(column(part, "text"), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id"), column(part, "rid"), _i64([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in got]), pa.array([len(s) for s in got], pa.int64()), _i64([majority(s) for s in got]), pa.array([s.tobytes() for s in got], pa.binary())],
-                    names=["doc_id", "rid", "node", "n", "f0", "s"],
+                    [column(part, "doc_id"), column(part, "rid"), _i64([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in got]), pa.array([len(s) for s in got], pa.int64()), _i64([majority(s) for s in got]), pa.array([parity(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())],
+                    names=["doc_id", "rid", "node", "n", "f0", "b", "s"],
                 )
 
     return run
@@ -400,10 +424,9 @@ def _prefixes(common, similarity: float):
 
 
 def _may(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n and m shingles that share their pos-th and at-th may be alike: what they can share at most
-    is enough."""
-    most = np.minimum(pos, at) + 1 + np.minimum(n - pos, m - at) - 1
-    return most * (1 + similarity) >= similarity * (n + m) - 1e-6
+    """Whether sets of n and m shingles may be alike whose first common shingle is the pos-th and at-th: no more than
+    what follows it can be shared. (Sets alike always meet in the bin of their first common shingle.)"""
+    return np.minimum(n - pos, m - at) * (1 + similarity) >= similarity * (n + m) - 1e-6
 
 
 def _stars(many: int, similarity: float):
@@ -470,7 +493,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    every = rows.mapInArrow(_sketches(shingle), "doc_id long, rid long, node long, n long, f0 long, s binary")
+    every = rows.mapInArrow(_sketches(shingle), "doc_id long, rid long, node long, n long, f0 long, b binary, s binary")
     every = scratch.put("sketches", every.withColumn("uid", F.monotonically_increasing_id()))
     found = every.select("doc_id", "rid", "node")
     nodes = scratch.put("nodes", every.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.min("uid").alias("uid")))
@@ -482,14 +505,23 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     left = prefix.join(shared, "h", "left_semi").groupBy(F.col("h").alias("bin"), "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     left = scratch.put("bins", left)
     scratch.drop("prefixes", "shared")
+    scratch.release()
+    def ends(some: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with these columns of both their nodes, of one row each."""
+        both = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()
+        asked = scratch.put("asked", both.join(nodes, "node").select("uid"))
+        told = scratch.put("ends", every.join(asked, "uid", "left_semi").select("node", *columns))
+        for x in "uv":
+            some = some.join(told.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in columns)), x)
+        return some
+
     def settle(name: str, some: DataFrame) -> DataFrame:
-        ends = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()
-        asked = scratch.put("asked", ends.join(nodes, "node").select("uid"))  # one row, hence one set, of each
-        ends = scratch.put("ends", every.join(asked, "uid", "left_semi").select("node", "s"))
-        full = some.join(ends.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(ends.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-        full = scratch.put(name, full.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
-        scratch.drop("ends", "asked")
-        return full
+        near = scratch.put("near", ends(some, "n", "b").mapInArrow(_near(similarity), "u long, v long"))
+        scratch.drop("asked", "ends")
+        found = scratch.put(name, ends(near, "s").select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
+        scratch.drop("asked", "ends", "near")
+        scratch.release()
+        return found
 
     tried = _proposed(scratch, nodes)
     links = settle("links0", tried)
@@ -497,8 +529,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     many, k = 1, 0
     while True:
         k += 1
-        ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
-        told = left.join(root.withColumnRenamed("u", "node"), "node", "left").join(ends.groupBy("node").agg(F.count("*").alias("ties")), "node", "left")
+        tied = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+        told = left.join(root.withColumnRenamed("u", "node"), "node", "left").join(tied.groupBy("node").agg(F.count("*").alias("ties")), "node", "left")
         told = scratch.put(f"told{k}", told.select("bin", "node", "n", "pos", F.coalesce("root", "node").alias("comp"), F.coalesce("ties", F.lit(0)).alias("ties")))
         if k > 1:
             apart = told.groupBy("bin").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bin")
