@@ -463,10 +463,97 @@ def test_lm_scores(spark, sf, folder):
         assert d != sf or ours > base
 
 
+def test_lm_scores_equal_the_model_worked_out_token_by_token(spark, sf, monkeypatch):
+    m, box = op8_lm_score, {}
+    train, common = m.train, m._common
+
+    def learn(*args):
+        box["weights"] = train(*args)
+        return box["weights"]
+
+    def known(counts):
+        box["common"] = {r[0] % (1 << 64) for r in common(counts).select(F.xxhash64("word")).collect()}
+        return common(counts)
+
+    monkeypatch.setattr(m, "train", learn)
+    monkeypatch.setattr(m, "_common", known)
+    monkeypatch.setattr(m, "HOT", 3000)
+    monkeypatch.setattr(m, "RANGE", 4000)
+    rows = [(x, t) for x, t, *_ in documents(spark, sf)]
+    got = {r["doc_id"]: r["score"] for r in m.score(spark.createDataFrame(rows, "doc_id long, text string"), ~m.held_out()).collect()}
+    docs = [(x, [w.encode() for w in SPACED.findall((t or "").translate(LOWER))] + [b"\n"], zlib.crc32(str(x).encode()) % 7 == 2) for x, t in rows]
+    h = {w: m.word_hash(w) for _, ws, _ in docs for w in ws}
+    c = Counter(w for _, ws, held in docs if not held for w in ws)
+    rank = {w: i for i, w in enumerate(sorted((w for w in c if h[w] in box["common"]), key=lambda w: (-c[w], h[w]))[: m.HEAD])}
+    assert len(rank) == m.HEAD and min(c[w] for w in rank) >= max(n for w, n in c.items() if w not in rank)
+    sub = {w: x >> 54 for w, x in h.items()}
+    mass, rare, count = Counter(), Counter(), Counter()
+    for w, n in c.items():
+        if w not in rank:
+            mass[sub[w]] += n + 1
+            if h[w] not in box["common"]:
+                rare[sub[w]] += n + 1
+                count[sub[w]] += 1
+    of_class = Counter()
+    for x in range(m.SUBS):
+        of_class[x // 32] += mass[x] + 1
+    pairs = Counter((p, w) for _, ws, held in docs if not held for p, w in zip([b"", *ws], ws) if w not in rank)
+    total, own = Counter(), Counter()
+    for (p, w), n in pairs.items():
+        total[p, sub[w]] += n
+        own[p, sub[w]] += n - m.LESS if n >= 2 else 0
+
+    def bucket(w, size):
+        first = size - size // 3 - 1
+        return rank[w] if rank.get(w, size) < first else first + h[w] % (size // 3)
+
+    table = box["weights"].classes(np.arange(m.CONTEXTS)) / math.log(10)
+    used = set()
+    for x, ws, _ in docs:
+        want = 0.0
+        for i, w in enumerate(ws):
+            at = (bucket(ws[i - 1], m.PREV) if i else m.PREV - 1) * m.SKIP + (bucket(ws[i - 2], m.SKIP) if i > 1 else m.SKIP - 1)
+            if w in rank:
+                used.add("head")
+                want += table[at, rank[w] // m.MEMBERS] + box["weights"].words(np.array([at]))[0, rank[w] // m.MEMBERS, rank[w] % m.MEMBERS] / math.log(10)
+                continue
+            p, k = ws[i - 1] if i else b"", sub[w]
+            want += table[at, m.HEADS + k // 32]
+            if pairs[p, w] >= 2:
+                used.add("pair")
+                want += math.log10((mass[k] + 1) / of_class[k // 32]) + math.log10((pairs[p, w] - m.LESS) / total[p, k])
+                continue
+            common = h[w] in box["common"]
+            used.add("common" if common else "rare")
+            want += math.log10((c[w] + 1 if common else (rare[k] + 1) / (count[k] + 1)) / of_class[k // 32])
+            if own[p, k]:
+                used.add("rest")
+                want += math.log10(1 - own[p, k] / total[p, k])
+        assert abs(got[x] - want) < 0.01 + len(ws) / 2500
+    assert used == {"head", "pair", "common", "rare", "rest"}
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    got = op8_lm_score.op8_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.13
+
+
+def test_lm_hashes_and_packed_columns(spark):
+    words = [b"", b"a", b"longer than thirty-two bytes, so that all of the hash is used", "É".encode()]
+    got = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select(F.xxhash64("w")).collect()
+    assert [r[0] % (1 << 64) for r in got] == [op8_lm_score.word_hash(w) for w in words]
+    key = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    a, b = np.arange(1000, dtype="<u2"), np.linspace(0, 1, 1000).astype("<f4")
+    for n in (0, 1, 1000):
+        for x, y in zip(op8_lm_score.unpack(op8_lm_score.pack(key[:n], a[:n], b[:n]), "<u8", "<u2", "<f4"), (key[:n], a[:n], b[:n]), strict=True):
+            assert (x == y).all() and len(x) == n
+    assert [k for k, *_ in op8_lm_score._ranges(key, 7)] == list(range(7))
+
+
 def test_lm_gradient_is_the_slope_of_the_likelihood():
     rnd = np.random.default_rng(3)
-    w = op8_lm_score.Weights(rnd.integers(1, 9, 32).astype(float), rnd.integers(1, 9, op8_lm_score.HEAD).astype(float))
-    context, n = np.array([5, 700]), rnd.integers(0, 9, (2, 32))
+    w = op8_lm_score.Weights(rnd.integers(1, 9, op8_lm_score.CLASSES).astype(float), rnd.integers(1, 9, op8_lm_score.HEAD).astype(float))
+    context, n = np.array([5, 700]), rnd.integers(0, 9, (2, op8_lm_score.CLASSES))
     got = op8_lm_score.gradient(w, context, n)
     like = lambda: float((n * w.classes(context)).sum())
     before = like()

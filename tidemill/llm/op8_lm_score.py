@@ -169,7 +169,7 @@ def pack(*columns: np.ndarray) -> bytes:
     """Columns of one length, the first of ascending 64-bit numbers, byte plane by byte plane."""
     first, *more = columns
     planes = [np.diff(first, prepend=U64(0)), *more]
-    body = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in planes)
+    body = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in planes)
     return struct.pack("<Q", len(first)) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -544,7 +544,10 @@ def score(docs: DataFrame, train_on: Column, updates: int = UPDATES) -> DataFram
     n, v = sum(r[1] for r in subs), sum(r[2] for r in subs)
     hot = _common(counts).select(F.xxhash64("word").alias("h"), "n").toArrow()
     hashes, many = (hot[c].to_numpy() for c in ("h", "n"))
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes.view(np.uint64) if n else np.zeros(1, np.uint64), many if n else np.zeros(1, np.int64), n, v, subs))
+    if n:
+        vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes.view(np.uint64), many, n, v, subs))
+    else:  # one word that never occurs
+        vocabulary = spark.sparkContext.broadcast(Vocabulary(np.zeros(1, np.uint64), np.zeros(1, np.int64), 0, 0, [(0, 0, 1)]))
 
     weights = copies = None
     if n:
