@@ -342,6 +342,12 @@ def test_decontaminate_spans_and_blocks(spark, edges, bench, monkeypatch):
     one = collected(op5_decontaminate.scan(edges, bench))
     monkeypatch.setattr(op5_decontaminate, "BLOCK_BYTES", 40)
     assert collected(op5_decontaminate.scan(edges, bench)) == one
+    for cut in (False, True):
+        got = collected(op5_decontaminate.clean(edges, bench, spans=cut))
+        with monkeypatch.context() as m:
+            m.setattr(op5_decontaminate, "BLOCK_BYTES", 32 << 20)
+            assert collected(op5_decontaminate.clean(edges, bench, spans=cut)) == got
+        assert len(got) == (len(EDGES) if cut else 4)
     docs = spark.createDataFrame([(1, "Zürich, " + " ".join(PASSAGE.split()[:40]) + " end"), (2, None), (3, "clean")], "doc_id long, text string")
     item = bench.where("item_id = 1")
     assert sorted(r["doc_id"] for r in op5_decontaminate.clean(docs, item).collect()) == [2, 3]
@@ -350,6 +356,25 @@ def test_decontaminate_spans_and_blocks(spark, edges, bench, monkeypatch):
     assert kept == {1: "Zürich, " + " ".join(p[:5]) + "  " + " ".join(p[30:40]) + " end", 2: None, 3: "clean"}
 
 
+def test_decontamination_index_tells_equal_windows_and_is_small():
+    rnd = np.random.default_rng(2)
+    items = [("a", "x y z " * 20), ("b", "y z x " * 20), ("c", "x y"), ("d", "x y"), ("e", " ".join(f"w{i}" for i in rnd.integers(0, 9, 300)))]
+    index = op5_decontaminate.Index(items, 10)
+    want = {}
+    for name, t in items:
+        w = t.split()
+        for i in range(max(1, len(w) - 9)):
+            want.setdefault(tuple(w[i : i + 10]), set()).add(name)
+    for k, (known, _, start, cut, item) in index.of.items():
+        assert (np.diff(known.astype(object)) >= 0).all()
+        got = {tuple(index.text(s, k).decode().split()): {index.names[x] for x in item[a:b]} for s, a, b in zip(start, cut[:-1], cut[1:], strict=True)}
+        assert got == {g: x for g, x in want.items() if len(g) == k}
+    text = " ".join(f"word{i}" for i in rnd.integers(0, 1 << 30, 200_000))
+    index = op5_decontaminate.Index([("a", text)], 10)
+    size = index.buf.nbytes + index.first.nbytes + index.last.nbytes + sum(x.nbytes for v in index.of.values() for x in v)
+    assert size < 6 * len(text)
+
+
 def test_token_files(spark, sf, folder):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for d in (sf, folder):

@@ -2,9 +2,10 @@
 
 Texts are lower-cased (A-Z) and cut into words. Every run of ``n`` words of a benchmark item (the whole
 item if it has fewer words) is a window; the hashes of all windows are broadcast, each document's own
-windows are looked up in one pass over its word hashes, and each hit is verified word by word. A
-benchmark larger than ``BLOCK_BYTES`` is cut into blocks of about that size, which the documents pass
-one after the other within the same task: what is broadcast at once stays bounded.
+windows are looked up in one pass over its word hashes, and each hit is verified word by word. The index is
+a few flat arrays, some five times the size of the items' text. A benchmark larger than ``BLOCK_BYTES`` is cut into
+blocks of about that size, each of which the documents pass in a job of its own, so that a worker never
+holds more than one block; what the blocks found is put together by document.
 
 Defined results: null texts have no words; items without words have no window; rows of one item_id are
 one item, and a null item_id counts as the item with the empty name. Empty tables give no rows or no
@@ -18,83 +19,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, lean, slices, table, tune
+from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
 from tidemill.llm._text import ALNUM, Windows, fits, word_hashes, words
 
 N = 10
 #: Bytes of benchmark text whose windows are broadcast at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 
 _FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
 _SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 class Index:
-    """Windows of some items: by length, a filter and the sorted hashes; by hash, the words and the items."""
+    """The distinct windows of some items, by length: sorted hashes, a filter, where each window's words stand, and the
+    items that hold it (those of window g are item[cut[g] : cut[g + 1]])."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
         w = words(pa.array([text for _, text in items], pa.string()), ALNUM, lower=True)
+        self.names = [item for item, _ in items]
+        self.buf, self.first, self.last = w.buf.copy(), w.first.astype(np.uint32), w.last.astype(np.uint32)
         sums = Windows(word_hashes(w))
-        self.of: dict[int, list[tuple[bytes, set[str]]]] = {}
-        lengths: dict[int, set[int]] = {}
-        for k, (item, _) in enumerate(items):
-            a, b = int(w.row[k]), int(w.row[k + 1])
-            size = min(n, b - a)
-            for i in range(a, b - size + 1) if size else ():
-                h, run = int(sums.of(np.array([i]), size)[0]), w.text(i, i + size)
-                lengths.setdefault(size, set()).add(h)
-                known = self.of.setdefault(h, [])
-                match = next((x for x in known if x[0] == run), None)
-                if match is None:
-                    known.append(match := (run, set()))
-                match[1].add(item)
-        self.sorted = {size: np.array(sorted(x), np.uint64) for size, x in lengths.items()}
-        self.filter = {}
-        for size, x in self.sorted.items():
+        size, owner = np.minimum(n, w.counts), w.rows()
+        self.of: dict[int, tuple] = {}
+        for k in sorted(set(size.tolist()) - {0}):
+            start = np.flatnonzero(fits(w, k) & (size[owner] == k))
+            h = sums.of(start, k)
+            order = np.argsort(h, kind="stable")
+            start, h = start[order], h[order]
+            # Windows of equal hash are one if their words are equal: told apart where a hash stands more than once.
+            group = np.arange(len(h))
+            kinds: dict[bytes, int] = {}
+            for i in (np.flatnonzero(h[1:] == h[:-1]) + 1).tolist():
+                if h[i - 1] != h[i - 2] or i < 2 or not kinds:
+                    kinds = {self.text(start[i - 1], k): i - 1}
+                group[i] = kinds.setdefault(self.text(start[i], k), i)
+            order = np.lexsort((owner[start], group))
+            own, which = owner[start][order], group[order]
+            new = np.ones(len(which), bool)
+            new[1:] = (which[1:] != which[:-1]) | (own[1:] != own[:-1])
+            own, which = own[new], which[new]
+            head = np.flatnonzero(np.diff(which, prepend=-1))
             seen = np.zeros(1 << 16, bool)
-            seen[x >> np.uint64(48)] = True
-            self.filter[size] = seen
+            seen[h >> np.uint64(48)] = True
+            self.of[k] = (h[which[head]], seen, start[which[head]].astype(np.uint32), np.append(head, len(own)), own.astype(np.uint32))
+
+    def text(self, a: int, size: int) -> bytes:
+        return b" ".join(self.buf[self.first[i] : self.last[i]].tobytes() for i in range(int(a), int(a) + size))
 
     def hits(self, w, sums: Windows):
         """(first word, number of words, items) of every verified occurrence."""
-        for size, known in self.sorted.items():
+        for size, (known, seen, start, cut, item) in self.of.items():
             h = sums.all(size)
-            at = np.flatnonzero(self.filter[size][h >> np.uint64(48)] & fits(w, size)[: len(h)])
-            at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-            for i in at.tolist():
+            at = np.flatnonzero(seen[h >> np.uint64(48)] & fits(w, size)[: len(h)])
+            a = np.searchsorted(known, h[at])
+            ok = known[np.minimum(a, len(known) - 1)] == h[at]
+            for i, g in zip(at[ok].tolist(), a[ok].tolist(), strict=True):
                 run = w.text(i, i + size)
-                for text, items in self.of[int(h[i])]:
-                    if text == run:
-                        yield i, size, items
+                while g < len(known) and known[g] == h[i]:
+                    if self.text(start[g], size) == run:
+                        yield i, size, [self.names[x] for x in item[cut[g] : cut[g + 1]].tolist()]
+                    g += 1
 
 
-def _blocks(benchmark: DataFrame, n: int) -> list:
-    """Broadcast indexes of the benchmark, each of at most about BLOCK_BYTES of text."""
-    spark = benchmark.sparkSession
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """(item, text) of the benchmark, cut into parts of at most about BLOCK_BYTES of text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        out.append(spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], n)))
-    return out
+    return [items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) for k in range(blocks)]
+
 
+def _broadcast(items: DataFrame, n: int):
+    return items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], n))
 
-def _find(col: pa.Array, blocks: list):
+
+def _find(col: pa.Array, index: Index):
     w = words(col, ALNUM, lower=True)
     sums = Windows(word_hashes(w))
     hit = np.zeros(len(w.first) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    for block in blocks:
-        for i, size, found in block.value.hits(w, sums):
-            hit[i] += 1
-            hit[i + size] -= 1
-            items.setdefault(int(np.searchsorted(w.row, i, "right")) - 1, set()).update(found)
-    covered = np.cumsum(hit[:-1]) > 0
+    for i, size, found in index.hits(w, sums):
+        hit[i] += 1
+        hit[i + size] -= 1
+        items.setdefault(int(np.searchsorted(w.row, i, "right")) - 1, set()).update(found)
+    return w, np.cumsum(hit[:-1]) > 0, items
+
+
+def _hit_words(w, covered: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(covered)])
-    n_hit = total[w.row[1:]] - total[w.row[:-1]]
-    return w, covered, n_hit, items
+    return total[w.row[1:]] - total[w.row[:-1]]
+
+
+def _by_blocks(docs: DataFrame, blocks: list[DataFrame], n: int) -> DataFrame:
+    """key (doc_id, rid) of contaminated documents, with the spans and items that each block found."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rid"), F.col("text").cast("string").alias("text"))
+    every = None
+    for k, block in enumerate(blocks):
+        index = _broadcast(block, n)
+
+        @lean
+        def run(batches, index=index):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    w, covered, items = _find(column(part, "text"), index.value)
+                    at = pa.array(sorted(items), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [column(part, "doc_id").take(at), column(part, "rid").take(at), pa.array([_edges(covered[w.row[i] : w.row[i + 1]]) for i in at.to_pylist()], _SPAN), pa.array([sorted(items[i]) for i in at.to_pylist()], pa.list_(pa.string()))],
+                        names=["doc_id", "rid", "spans", "items"],
+                    )
+
+        one = rows.mapInArrow(run, "doc_id long, rid long, spans array<struct<first:long,last:long>>, items array<string>")
+        one = scratch.put(f"block{k}", one.groupBy("doc_id", "rid").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        index.destroy()
+        every = one if every is None else every.unionByName(one)
+    every = every.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return scratch.last("blocks", every)
+
+
+def _known(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns of docs, renamed, with the spans and items found; and the new names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(x)]) for x in ("doc_id", "text"))
+    same = doc_id.cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text.cast("string")) == F.col("rid"))
+    return docs.toDF(*names).join(found, same, "left").drop("doc_id", "rid"), names
+
+
+def _told(part: pa.RecordBatch, text: str):
+    """As ``_find``, from spans and items found before."""
+    w = words(column(part, text), ALNUM, lower=True)
+    hit = np.zeros(len(w.first) + 1, np.int64)
+    items = {}
+    for k, (spans, found) in enumerate(zip(column(part, "spans").to_pylist(), column(part, "items").to_pylist(), strict=True)):
+        if spans:
+            items[k] = set(found)
+        for x in spans or ():
+            hit[w.row[k] + x["first"]] += 1
+            hit[w.row[k] + x["last"]] -= 1
+    return w, np.cumsum(hit[:-1]) > 0, items
 
 
 def _edges(x: np.ndarray) -> list[dict]:
@@ -105,37 +167,50 @@ def _edges(x: np.ndarray) -> list[dict]:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted), spans (hit words, from 0, end exclusive)."""
     tune(docs.sparkSession)
-    blocks = _blocks(benchmark, n)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, names, index = _prepared(docs, benchmark, n)
 
     @lean
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                w, covered, n_hit, items = _find(column(part, "text"), blocks)
+            for part in slices(batch, names[1]):
+                w, covered, items = _find(column(part, names[1]), index.value) if index else _told(part, names[1])
+                n_hit = _hit_words(w, covered)
                 spans = [_edges(covered[w.row[k] : w.row[k + 1]]) if n_hit[k] else [] for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([sorted(items.get(k, ())) for k in range(part.num_rows)], pa.list_(pa.string())), pa.array(spans, _SPAN)],
+                    [column(part, names[0]), pa.array(w.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([sorted(items.get(k, ())) for k in range(part.num_rows)], pa.list_(pa.string())), pa.array(spans, _SPAN)],
                     names=["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + _FOUND)
+    return rows.mapInArrow(run, "doc_id long, " + _FOUND)
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, n: int):
+    """The rows to go through, the names of docs' columns there, and the index; None if the rows carry what was found."""
+    blocks = _blocks(benchmark)
+    if len(blocks) == 1:
+        return docs, docs.columns, _broadcast(blocks[0], n)
+    return *_known(docs, _by_blocks(docs, blocks, n)), None
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool = False) -> DataFrame:
     """The documents without contaminated ones, or with ``spans`` all of them without the hit words (from
     the first byte of each run of hit words to its last). All columns stay."""
     tune(docs.sparkSession)
-    blocks = _blocks(benchmark, n)
+    rows, names, index = _prepared(docs, benchmark, n)
+    place, wide = docs.columns.index("text"), len(docs.columns)
 
     @lean
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                w, covered, n_hit, _ = _find(column(part, "text"), blocks)
+            for part in slices(batch, names[place]):
+                w, covered, _ = _find(part.column(place), index.value) if index else _told(part, names[place])
+                n_hit = _hit_words(w, covered)
+                part = pa.RecordBatch.from_arrays(part.columns[:wide], names=docs_names)
                 if not spans:
                     yield part.filter(pa.array(n_hit == 0))
                     continue
-                texts = column(part, "text").to_pylist()
+                texts = part.column(place).to_pylist()
                 for k in np.flatnonzero(n_hit).tolist():
                     raw, base = texts[k].encode(), int(w.row[k])
                     skip = _start(texts, k)
@@ -144,10 +219,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool = False
                         out.append(raw[at : int(w.first[base + e["first"]]) - skip])
                         at = int(w.last[base + e["last"] - 1]) - skip
                     texts[k] = b"".join([*out, raw[at:]]).decode()
-                i = part.schema.get_field_index("text")
-                yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if j == i else c for j, c in enumerate(part.columns)], schema=part.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if j == place else c for j, c in enumerate(part.columns)], schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_names = docs.columns
+    return rows.mapInArrow(run, docs.schema)
 
 
 def _start(texts: list, k: int) -> int:
