@@ -12,6 +12,8 @@ from tidemill.storage import delete, new_path
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: Bytes of a row group of an intermediate table: what a task that writes or reads one holds.
+ROW_GROUP = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -53,7 +55,7 @@ class Scratch:
         if name in self.paths:
             self.old.append(self.paths[name])
         path = self.paths[name] = new_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "lz4_raw").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
