@@ -1,17 +1,18 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 
-from tidemill import errors
+from tidemill import errors, storage
 from tidemill.config import RetryPolicy, Tenant, size_of
 from tidemill.functions.scalars import date_spine
 from tidemill.metrics import Metrics
-from tidemill.operators import history, merge, quality, transforms
+from tidemill.operators import history, merge, quality, transforms, vault
 from tidemill.pipeline import Definition, Pipeline
 from tidemill.sources import strategies
 from tidemill.sources.versioned import Conflict, VersionedTable
-from tidemill.state import Cursor, CursorStore
-from tidemill.streaming.landing import ingest
+from tidemill.state import Cursor, CursorStore, StageStore
+from tidemill.streaming.landing import ingest, windowed
 
 NOW = dt.datetime(2024, 3, 1)
 
@@ -217,3 +218,95 @@ def test_streaming_landing_upserts_each_file_once(spark, tmp_path):
     spark.createDataFrame([(2, 1, "c")], schema).write.mode("append").parquet(f"file://{tmp_path}/in")
     go()
     assert table(VersionedTable(spark, f"file://{tmp_path}/out").read()) == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_a_file_appears_whole_or_not_at_all(spark, tmp_path):
+    at = f"file://{tmp_path}/log/0.json"
+    assert storage.publish(spark, at, b"first") and not storage.publish(spark, at, b"second")
+    assert (tmp_path / "log/0.json").read_bytes() == b"first"
+    assert [p.name for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")] == ["0.json"]  # no draft is left
+
+
+def test_two_writers_of_one_version_conflict(spark, tmp_path):
+    a, b = (VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    df = spark.createDataFrame([(1, "x")], "k int, v string")
+    a.overwrite(df)
+    with pytest.raises(Conflict):
+        b._commit(None, [], df)
+
+
+@pytest.mark.parametrize("values", (("2024-01-01 00:00:00", "a/b"), ("x=y%", ""), (None, "ü ö")))
+def test_partitions_of_any_value_are_replaced(spark, tmp_path, values):
+    s = "k int, p string, v int"
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "p")
+    t.overwrite(spark.createDataFrame([(i, values[i % 2], 0) for i in range(4)], s))
+    t.upsert(spark.createDataFrame([(0, values[1], 1), (1, values[1], 1), (9, "new", 1)], s), ["k"])
+    got = {r["k"]: (r["p"], r["v"]) for r in t.read().collect()}
+    assert t.read().count() == len(got) == 5
+    assert got == {0: (values[1], 1), 1: (values[1], 1), 2: (values[0], 0), 3: (values[1], 0), 9: ("new", 1)}
+
+
+def test_schema_follows_the_source(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.overwrite(spark.createDataFrame([(1, "x")], "k int, old string"))
+    t.evolve(spark.createDataFrame([(2, 5.0)], "k int, new double"))
+    assert t.read().columns == ["k", "new"] and table(t.read()) == [(1, None), (2, 5.0)]
+    assert t.read(0).columns == ["k", "old"]
+
+
+def test_streaming_landing_leaves_out_rows_older_than_the_targets(spark, tmp_path):
+    src, dst = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    schema = spark.createDataFrame([], "k int, t int, v string").schema
+    for rows in ([(1, 5, "new"), (2, 1, "a")], [(1, 3, "late"), (2, 2, "b"), (3, None, "c")], [(3, 1, "d"), (2, None, "e")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        ingest(spark, src, schema, dst, ["k"], "t", f"file://{tmp_path}/check")
+    assert table(VersionedTable(spark, dst).read()) == [(1, 5, "new"), (2, 2, "b"), (3, 1, "d")]
+
+
+def test_replays_in_any_order_give_the_last_state(spark):
+    s = "id int, v string, _lsn long, _change_type string"
+    old, new = spark.createDataFrame([(1, "a", 1, "insert"), (2, "x", 3, "insert")], s), spark.createDataFrame([(1, "b", 2, "update"), (2, "x", 4, "delete")], s)
+    state = strategies.replay(strategies.replay(strategies.replay(None, new, ["id"]), old, ["id"]), new, ["id"])
+    assert table(strategies.alive(state)) == [(1, "b")]
+
+
+def test_dedup_counts_nulls_last_and_keeps_columns(spark):
+    df = spark.createDataFrame([(1, None, "z"), (1, 3, None), (1, 3, "b"), (2, None, "q"), (2, None, None)], "k int, t int, v string")
+    assert table(df.transform(transforms.dedup(["k"], "t"))) == [(1, 3, "b"), (2, None, "q")]
+    assert table(df.transform(transforms.dedup(["k"], "t", newest=False))) == [(1, 3, "b"), (2, None, "q")]
+    assert df.transform(transforms.dedup(["k"], "t")).columns == ["k", "t", "v"]
+
+
+def test_a_rerun_writes_its_quarantine_once_and_a_corrected_source_is_read_again(spark, tmp_path):
+    p, t = Pipeline(spark, f"file://{tmp_path}/state", sleep=lambda s: None), Tenant("t", retry=RetryPolicy(max_retries=0))
+    rows = spark.createDataFrame([(1, 5), (2, -1)], "id int, amount int")
+
+    def fails(df):
+        raise RuntimeError("no")
+
+    good = Definition("p", "src", f"file://{tmp_path}/t", rules=(quality.positive("amount"),), options={"frame": rows}, strategy="FullReload")
+    assert p.run(t, replace(good, transforms=(fails,)), NOW).status == "FAILED"
+    assert p.run(t, good, NOW).status == "PARTIAL"
+    assert p.quarantine.read(spark, "t", "src").count() == 1
+    strict = Definition("q", "src2", f"file://{tmp_path}/t2", rules=(quality.positive("amount", quality.CRITICAL),), options={"frame": rows}, strategy="FullReload")
+    assert p.run(t, strict, NOW).status == "FAILED"
+    assert p.run(t, replace(strict, options={"frame": rows.where("amount > 0")}), NOW).status == "SUCCESS"
+
+
+def test_what_only_tests_call(spark, tmp_path):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1), 2.0), (2, dt.date(2024, 1, 9), 3.0)], "k int, event_date date, value double")
+    runs = transforms.each_window(["k"], [("SUM", "value", "total")], ["1 day", "7 days"])
+    assert {w: df.transform(f).count() for w, f in runs.items()} == {"1 day": 2, "7 days": 2}
+    assert table(merge.matched(df.select("k"), df.where("k = 2"), ["k"])) == [(2,)]
+    assert table(vault.unseen(df.select("k"), df.where("k = 2"), ["k"])) == [(1,)]
+    assert quality.descriptive_columns(df.withColumnRenamed("k", "x_hk"), "x") == ["event_date", "value"]
+    store = StageStore(spark, f"file://{tmp_path}/s")
+    assert store.resume("p", ["extract", "validate"], "t") is None
+    store.save(df, "p", "extract", "t")
+    name, got = store.resume("p", ["extract", "validate"], "t")
+    assert name == "extract" and got.count() == 2
+    df.select("k", df["event_date"].cast("timestamp").alias("at"), "value").write.parquet(f"file://{tmp_path}/e")
+    stream = windowed(spark.readStream.schema("k int, at timestamp, value double").parquet(f"file://{tmp_path}/e"), "at", ["k"])
+    q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert table(spark.table("windows").select("k", "n", "total")) == [(1, 1, 2.0), (2, 1, 3.0)]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemill.config import Tenant
 from tidemill.functions import scalars
 from tidemill.operators import history, merge, quality, transforms, vault
-from tidemill.plans import sql
+from tidemill.plans import jobs, sql
 from tidemill.plans.models import Models
 from tidemill.plans.star import Star
 from tidemill.sources import strategies
@@ -49,7 +49,7 @@ def _model(name: str, attribute: str | None = None) -> None:
 
 
 for _name in ("stg_orders", "stg_customers", "stg_products", "stg_dates", "customer_metrics", "product_metrics", "sales_daily", "customer_enriched", "product_enriched", "monthly_financials",
-              "customer_cohort", "customer_rfm", "product_affinity", "ltv_distribution", "daily_summary", "weekly_ltv", "monthly_product", "vendor_performance"):
+              "customer_cohort", "customer_rfm", "product_affinity", "ltv_distribution", "ltv_distribution_scaled", "daily_summary", "weekly_ltv", "monthly_product", "vendor_performance"):
     _model(_name)
 _QUERIES["orders_enriched"], _SQL["orders_enriched"] = lambda s, d: _models(s, d).orders_enriched, sql.model("enriched")
 
@@ -406,6 +406,17 @@ def dq_revenue(spark: SparkSession, folder: str) -> DataFrame:
     return quality.expression(f, "abs(line_total - (gross_amount - discount_amount)) <= 0.01 and order_date <= date'2001-07-31'").select("order_key", "line_total")
 
 
+@query("""SELECT o_orderkey, n_lines, cast(total AS decimal(18,2)) AS total FROM (SELECT l_orderkey, count(*) AS n_lines, sum(cast(l_extendedprice AS decimal(12,2)) * (1 - cast(l_discount AS decimal(5,2)))) AS total FROM lineitem GROUP BY 1)
+JOIN orders ON l_orderkey = o_orderkey WHERE abs(cast(o_totalprice AS decimal(12,2)) - total) > 1000""")
+def dq_order_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders whose own total, a column of another table, lies far from that of their lines."""
+    s = Star(spark, folder)
+    line = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1).cast("decimal(5,2)") - F.col("l_discount").cast("decimal(5,2)"))
+    lines = s.table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum(line).alias("total"))
+    both = s.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return quality.expression(both, "abs(cast(o_totalprice as decimal(12,2)) - total) <= 1000").select("o_orderkey", "n_lines", scalars.money("total").alias("total"))
+
+
 @query("SELECT p_brand, count(DISTINCT md5(p_type)) AS n FROM part GROUP BY 1 HAVING count(DISTINCT md5(p_type)) > 1")
 def dq_hash_determinism(spark: SparkSession, folder: str) -> DataFrame:
     return quality.one_hash_per_key(Star(spark, folder).table("part").withColumn("hk", F.md5("p_type")), "p_brand", "hk")
@@ -435,6 +446,193 @@ def keys_removed(spark: SparkSession, folder: str) -> DataFrame:
     return merge.diff(target, source, ["c_custkey"]).where("_change_type = 'delete'").select("c_custkey")
 
 
+# ---- partitions, replays and other loads ----
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey >= 900 THEN lower(c_mktsegment) || '/=%' WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def upsert_partitioned(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys move to other partitions, whose names need spelling out; some partitions are null."""
+    c = Star(spark, folder).table("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    named = c.withColumn("c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    t = _table(spark, named.where("c_custkey < 1000"), "c_mktsegment")
+    source = c.where("c_custkey >= 900").withColumn("c_mktsegment", F.concat(F.lower("c_mktsegment"), F.lit("/=%")))
+    t.upsert(source, ["c_custkey"])
+    t.upsert(source, ["c_custkey"])
+    return t.read()
+
+
+@query(f"SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY _lsn DESC) AS k FROM ({_CHANGES})) WHERE k = 1 AND _change_type <> 'delete'")
+def cdc_apply_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches of changes, the newest first and one twice: the same rows as in order."""
+    df = strategies.debezium(_envelopes(spark, folder)).select("_lsn", "_change_type", "data.user_id", "data.value")
+    state = None
+    for part in (2, 0, 1, 0):
+        state = strategies.replay(state, df.where(F.expr(f"_lsn div 4000 % 3 = {part}")), ["user_id"])
+    return strategies.alive(state)
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN value END AS value, CASE WHEN event_id % 2 = 1 THEN event_type END AS event_type FROM events")
+def schema_sync(spark: SparkSession, folder: str) -> DataFrame:
+    """The second batch has a new column and lacks one: both the table's rows and its columns follow."""
+    e = Star(spark, folder).table("events")
+    t = _table(spark, e.where("event_id % 2 = 0").select("event_id", "user_id", "value", "ts"))
+    t.evolve(e.where("event_id % 2 = 1").select("event_id", "user_id", F.lit(None).cast("double").alias("value"), "event_type"))
+    return t.read()
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 3 = 1 THEN value END AS value, CASE event_id % 3 WHEN 0 THEN 'a.parquet' ELSE 'b.parquet' END AS file FROM events WHERE event_id % 3 < 2")
+def landing_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of different columns, those named after the last one done."""
+    return strategies.landing(_landing(spark, folder))[0].withColumnRenamed("_source_file", "file").drop("_ingestion_time")
+
+
+@query("SELECT event_id % 3 AS part, count(*) AS n FROM events WHERE event_id % 3 = 1 GROUP BY 1")
+def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that an earlier run hasn't listed, whatever their names."""
+    c = _landing(spark, folder)
+    first = strategies.manifest(c)[1]
+    first.more["done"] = [x for x in first.more["done"] if "/a/" in x[0] or "/a.parquet" in x[0]]
+    c.cursor = first
+    return strategies.manifest(c)[0].groupBy((F.col("event_id") % 3).alias("part")).agg(F.count("*").alias("n"))
+
+
+def _landing(spark: SparkSession, folder: str) -> strategies.Context:
+    """A landing folder with a file for each third of the events, the first without ``value``."""
+    e, at = Star(spark, folder).table("events").select("event_id", "user_id", "value"), new_path(spark, "landing")
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, name in enumerate("abz"):
+        part = e.where(F.col("event_id") % 3 == k)
+        (part.drop("value") if k == 0 else part).coalesce(1).write.parquet(f"{at}/.{name}")
+        file = next(s.getPath() for s in fs.listStatus(p(f"{at}/.{name}")) if s.getPath().getName().startswith("part-"))
+        fs.rename(file, p(f"{at}/{name}.parquet"))
+    return strategies.Context(spark, Tenant("t"), "t", {"path": at, "pattern": "[ab].parquet"}, None, dt.datetime(2001, 8, 2))
+
+
+@query("SELECT c_custkey, c_name, lower(c_mktsegment) AS c_mktsegment, CASE WHEN c_custkey >= 1000 THEN 'insert' ELSE 'update_postimage' END AS _change_type FROM customer WHERE c_custkey >= 900")
+def change_feed(spark: SparkSession, folder: str) -> DataFrame:
+    target, source = _source(spark, folder)
+    t = _table(spark, target)
+    t.upsert(source, ["c_custkey"])
+    c = _context(spark, target, "0", path=t.path, keys=["c_custkey"])
+    return strategies.change_feed(c)[0]
+
+
+@query("SELECT customer_id, CASE WHEN customer_id < 700 THEN 'old' ELSE tier END AS tier FROM dim_customer")
+def scd0_insert_only(spark: SparkSession, folder: str) -> DataFrame:
+    c = Star(spark, folder).dim_customer.select("customer_id", "tier")
+    return history.scd0(c.where("customer_id < 700").withColumn("tier", F.lit("old")), c, ["customer_id"])
+
+
+@query(f"SELECT _quarantine_rule, count(*) AS n FROM (SELECT {_RULES} AS _quarantine_rule FROM lineitem WHERE {_RULES} IS NOT NULL) GROUP BY 1")
+def quarantine_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Bad rows written twice, as by a rerun of one batch, and read back by customer and table."""
+    store = quality.Quarantine(new_path(spark, "quarantine"))
+    for _ in range(2):
+        store.write(_split(spark, folder)[1], "batch-1")
+    return store.read(spark, "t", "lineitem").groupBy("_quarantine_rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderdate < timestamp '1995-01-01' OR o_orderdate > timestamp '2000-12-31' THEN 'o_orderdate_range' END AS rule, count(*) AS n FROM orders GROUP BY 1 HAVING rule IS NOT NULL")
+def rule_date_range(spark: SparkSession, folder: str) -> DataFrame:
+    o = Star(spark, folder).table("orders")
+    bad = quality.split(o, [quality.date_range("o_orderdate", dt.datetime(1995, 1, 1), dt.datetime(2000, 12, 31))])[1]
+    return bad.groupBy(F.col("_quarantine_rule").alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT customer_id FROM dim_customer WHERE email IS NULL OR NOT regexp_matches(email, '^[A-Za-z0-9+_.-]+@[A-Za-z0-9.-]+$')")
+def rule_email(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses that are missing or malformed; as the rule only warns, these rows stay valid."""
+    good, _ = quality.split(Star(spark, folder).dim_customer, [quality.valid_email("email")])
+    return good.where(F.array_contains("_warnings", "email_email")).select("customer_id")
+
+
+# ---- tests of the vault ----
+
+
+@query("SELECT md5(cast(customer_id AS varchar)) AS customer_hk FROM dim_customer WHERE customer_id NOT IN (SELECT customer_key FROM fact_orders WHERE order_id % 20 = 0)")
+def vault_orphan_hubs(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers without an order among those of every twentieth number."""
+    q = queries()
+    return quality.orphans(q["hub_customer"](spark, folder), "customer", [q["link_order_customer"](spark, folder).where("order_bk % 20 = 0")])
+
+
+@query("""SELECT 'customer' AS "end", count(*) AS n FROM (SELECT DISTINCT order_id, customer_key FROM fact_orders WHERE customer_key >= 700) HAVING count(*) > 0""")
+def vault_broken_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links whose customers were left out of the hub; no order is missing."""
+    q = queries()
+    hub = q["hub_customer"](spark, folder).where("customer_bk < 700")
+    return quality.broken_links(q["link_order_customer"](spark, folder), {"customer": hub, "order": q["hub_order"](spark, folder)})
+
+
+@query("SELECT md5(cast(customer_id AS varchar)) AS customer_hk, md5(tier) AS hash_diff, cast(2 AS bigint) AS n FROM dim_customer WHERE customer_id % 7 = 0")
+def vault_repeated_states(spark: SparkSession, folder: str) -> DataFrame:
+    """A satellite into which every seventh row was loaded twice, around the check for known states."""
+    c = _at(Star(spark, folder).dim_customer)
+    sat = vault.satellite(c, "customer", "customer_id", ["tier"], "olap.dim_customer")
+    again = vault.satellite(c.where("customer_id % 7 = 0"), "customer", "customer_id", ["tier"], "olap.dim_customer")
+    return quality.repeated_states(sat.unionByName(again), "customer")
+
+
+@query("SELECT customer_id FROM dim_customer WHERE email IS NULL")
+def vault_hash_length(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashes that are missing, as of a key column that is null."""
+    c = Star(spark, folder).dim_customer.withColumn("mail_hk", scalars.hash_key("email"))
+    return quality.hash_length(c, "mail_hk").select("customer_id")
+
+
+@query("SELECT p_partkey, p_size - 10 AS room FROM part WHERE p_size - 10 <= 0")
+def dq_positive(spark: SparkSession, folder: str) -> DataFrame:
+    p = Star(spark, folder).table("part").select("p_partkey", (F.col("p_size") - 10).alias("room"))
+    return quality.positive_values(p, "room")
+
+
+# ---- jobs ----
+
+
+@query("""SELECT date_key, customer_key, cast(sum(line_total) AS decimal(18,2)) AS revenue, cast(sum(quantity) AS bigint) AS quantity, count(*) AS order_lines
+FROM (SELECT f.* FROM fact_orders f JOIN dim_customer USING (customer_key) JOIN dim_product p USING (product_key) WHERE f.quantity > 0 AND f.line_total > 1000 AND f.quantity < 48) GROUP BY 1, 2""")
+def order_fact_job(spark: SparkSession, folder: str) -> DataFrame:
+    t = VersionedTable(spark, new_path(spark, "daily"))
+    jobs.order_facts(_models(spark, folder), t, quality.Quarantine(new_path(spark, "bad")))
+    return t.read()
+
+
+@query(f"SELECT *, md5(tier || '|' || segment) AS _scd_hash FROM ({_SCD2})")
+def customer_dimension_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The loads of ``scd2_snapshot`` into a versioned table, by merge."""
+    c, t = Star(spark, folder).dim_customer.select("customer_id", "tier", "segment"), VersionedTable(spark, new_path(spark, "customers"))
+    first = c.where("customer_id < 700").withColumn("tier", F.lit("old")).unionByName(c.where("customer_id >= 1000"))
+    second = c.where("customer_id < 1000 or customer_id % 2 = 0")
+    for source, day in ((first, 1), (second, 2), (second, 2)):
+        jobs.customer_dimension(source.unionByName(source), t, ["tier", "segment"], dt.datetime(2001, 8, day))
+    return t.read()
+
+
+@query("SELECT * FROM sales_daily")
+def sales_daily_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Days loaded up to the end of 2000, wrongly for the last month; then merged from the target's own last day."""
+    m, t = _models(spark, folder), VersionedTable(spark, new_path(spark, "sales"))
+    t.overwrite(m.sales_daily.where("date_key <= 20001231").withColumn("total_orders", F.when(F.col("date_key") <= 20001130, F.col("total_orders")).otherwise(F.lit(0).cast("bigint"))))
+    jobs.merge_daily(m, t, lookback_days=31)
+    return t.read()
+
+
+@query(sql.affinity("product_key", "product_name", 1))
+def product_affinity_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of single products, with their names and categories."""
+    return jobs.product_pairs(_models(spark, folder), 2)
+
+
+@query("SELECT * FROM (VALUES ('USD', 'EUR', cast(0.92 AS decimal(10,4)), date '2024-01-01'), ('USD', 'GBP', cast(0.79 AS decimal(10,4)), date '2024-01-01'), ('USD', 'JPY', NULL, date '2024-01-01')) AS t(from_currency, to_currency, rate, effective_date)")
+def seed_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """A seed file read by its declared schema; an empty field is null."""
+    at = new_path(spark, "seed")
+    lines = ["from_currency,to_currency,rate,effective_date", "USD,EUR,0.92,2024-01-01", "USD,GBP,0.79,2024-01-01", "USD,JPY,,2024-01-01"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(at)
+    return jobs.seed(spark, at, "from_currency string, to_currency string, rate decimal(10,4), effective_date date")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

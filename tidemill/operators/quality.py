@@ -81,16 +81,17 @@ class Quarantine:
     def __init__(self, path: str, by_date: bool = True):
         self.path, self.by_date = path.rstrip("/"), by_date
 
-    def write(self, bad: DataFrame) -> None:
+    def write(self, bad: DataFrame, batch: str = "none") -> None:
+        """Rows of a named batch replace those that an earlier attempt at it has written; unnamed ones are appended."""
         df = bad.withColumns({"customer": F.col("_quarantine_customer"), "table": F.col("_quarantine_table")})
         by = ["customer", "table"]
         if self.by_date:
             df, by = df.withColumn("date", F.to_date("_quarantine_timestamp")), [*by, "date"]
-        df.write.mode("append").partitionBy(*by).parquet(self.path)
+        df.write.mode("append" if batch == "none" else "overwrite").partitionBy(*by).parquet(f"{self.path}/batch={batch}")
 
     def read(self, spark, customer: str, table: str) -> DataFrame:
-        df = spark.read.option("mergeSchema", "true").parquet(self.path)
-        return df.where((F.col("customer") == customer) & (F.col("table") == table))
+        df = spark.read.option("mergeSchema", "true").option("basePath", self.path).parquet(self.path)
+        return df.where((F.col("customer") == customer) & (F.col("table") == table)).drop("batch")
 
 
 # ---- data tests: each returns the rows that fail --------------------------------------------------
@@ -129,3 +130,38 @@ def one_hash_per_key(df: DataFrame, key: str, hk: str) -> DataFrame:
 def descriptive_columns(hub_df: DataFrame, name: str) -> list[str]:
     """Columns a hub must not have."""
     return [c for c in hub_df.columns if c not in {f"{name}_hk", f"{name}_bk", "load_date", "record_source"}]
+
+
+# ---- tests of a vault ------------------------------------------------------------------------------
+
+
+def orphans(hub_df: DataFrame, name: str, links: list[DataFrame]) -> DataFrame:
+    """Hub keys that no link refers to."""
+    out = hub_df.select(f"{name}_hk")
+    for link_df in links:
+        out = out.join(link_df.select(f"{name}_hk"), f"{name}_hk", "left_anti")
+    return out
+
+
+def broken_links(link_df: DataFrame, hubs: dict[str, DataFrame]) -> DataFrame:
+    """(end, n): links whose key of a hub isn't in it."""
+    out = None
+    for name, hub_df in hubs.items():
+        bad = link_df.join(hub_df.select(f"{name}_hk"), f"{name}_hk", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("end"), "n")
+        out = bad if out is None else out.unionByName(bad)
+    return out.where("n > 0")
+
+
+def repeated_states(sat_df: DataFrame, name: str) -> DataFrame:
+    """States (key and hash of all attributes) that a satellite holds more than once."""
+    return unique(sat_df, f"{name}_hk", "hash_diff")
+
+
+def hash_length(df: DataFrame, column: str, length: int = 32) -> DataFrame:
+    """Rows whose hash is missing or hasn't the length of an md5."""
+    return df.where(F.coalesce(F.length(column) != length, F.lit(True)))
+
+
+def positive_values(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is set and not above zero."""
+    return df.where(F.col(column) <= 0)

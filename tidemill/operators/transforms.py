@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.merge import DuplicateKey
@@ -18,13 +18,18 @@ _WINDOWS = {"1 day": "0 days", "7 days": "4 days", "30 days": "0 days"}  # where
 
 
 def dedup(keys: list[str], order_by: str, newest: bool = True, tie_break: list[str] | None = None):
-    """One row per key: the newest (or oldest) by ``order_by``; ties by the columns given, then by all others."""
+    """One row per key: the newest (or oldest) by ``order_by``, null coming last; ties by the columns given, then by all
+    others. Two aggregations instead of a sort of each key's rows: the first row of each key and moment, then the
+    best moment of each key, both brought down before they are shuffled, so that a hot key fills no task."""
 
     def run(df: DataFrame) -> DataFrame:
-        first = F.col(order_by).desc_nulls_last() if newest else F.col(order_by).asc_nulls_last()
         rest = [*(tie_break or []), *sorted(set(df.columns) - {order_by, *keys, *(tie_break or [])})]
-        w = Window.partitionBy(*keys).orderBy(first, *(F.col(c).asc_nulls_last() for c in rest))
-        return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+        first = F.min(F.struct(F.lit(0).alias("_"), *(x for c in rest for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))))).alias("_row")
+        moments = df.groupBy(*keys, order_by).agg(first)
+        best = F.struct(order_by, "_row") if newest else F.struct(F.col(order_by).isNull().alias("_last"), order_by, "_row")
+        best = moments.groupBy(*keys).agg((F.max if newest else F.min)(best).alias("_best"))
+        place = lambda c: F.col(c) if c in keys else F.col(f"_best.{c}" if c == order_by else f"_best._row.{c}").alias(c)
+        return best.select(*(place(c) for c in df.columns))
 
     return run
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -110,9 +112,12 @@ class Pipeline:
             valid, bad = split(df, list(d.rules), tenant.customer_id, d.source, d.name, now)
             bad_rows = bad.count()
             if bad_rows:
+                # The cursor of the saved rows names the batch: a rerun after a failed load writes the same one again.
+                batch = hashlib.md5(json.dumps([d.name, tenant.customer_id, asdict(cursor)], default=str, sort_keys=True).encode()).hexdigest()
+                self.quarantine.write(bad, batch)
                 if not bad.where(bad["_quarantine_severity"] == CRITICAL).isEmpty():
+                    self.stages.clean(d.name, list(STAGES), tenant.customer_id)  # so that a corrected source is extracted again
                     raise CriticalViolation(f"{d.name}: a critical rule is violated")
-                self.quarantine.write(bad)
             df = self._stage(d, tenant, "validate", lambda: valid.drop("_warnings"))
         if d.transforms:
             df = self._stage(d, tenant, "transform", lambda: chain(df, list(d.transforms)))

@@ -31,6 +31,8 @@ VELOCITY = [(100, "Fast Moving"), (20, "Steady")]
 STRENGTH = [(0.5, "Strong"), (0.3, "Moderate"), (0.1, "Weak")]
 LTV_BUCKETS = [(10_000, "$10K+"), (5_000, "$5K - $9.9K"), (1_000, "$1K - $4.9K"), (500, "$500 - $999"), (100, "$100 - $499")]
 
+LTV_SCALED = [(1_000_000, "$1M+"), (500_000, "$500K - $999K"), (200_000, "$200K - $499K"), (100_000, "$100K - $199K"), (50_000, "$50K - $99K")]
+
 _n = lambda c: F.count_distinct(c).cast("bigint")
 
 
@@ -241,7 +243,15 @@ class Models:
 
     @cached_property
     def ltv_distribution(self) -> DataFrame:
-        bucket = ladder(F.col("lifetime_value"), LTV_BUCKETS, "< $100")
+        return self.ltv_in(LTV_BUCKETS, "< $100")
+
+    @cached_property
+    def ltv_distribution_scaled(self) -> DataFrame:
+        """The same over bounds that fit these tables' larger values."""
+        return self.ltv_in(LTV_SCALED, "< $50K")
+
+    def ltv_in(self, buckets: list[tuple[int, str]], other: str) -> DataFrame:
+        bucket = ladder(F.col("lifetime_value"), buckets, other)
         return self.customer_metrics.groupBy(bucket.alias("ltv_bucket")).agg(
             F.count("*").alias("customer_count"), mean("total_orders").alias("avg_orders"), mean("days_since_last_order").alias("avg_days_since_order"), F.min("lifetime_value").alias("lowest"),
         ).orderBy("lowest").drop("lowest")
@@ -254,9 +264,15 @@ class Models:
 
     @cached_property
     def weekly_ltv(self) -> DataFrame:
-        """Weeks start on Monday."""
+        """Weeks start on Monday. ``lifetime_value`` adds up to the week's end; a customer has one row a week."""
         o = self.stg_orders.withColumn("week_start", F.to_date(F.date_trunc("week", "order_date")))
-        return o.groupBy("customer_key", "week_start").agg(_sum("line_total").alias("weekly_spend"), _n("order_id").alias("weekly_orders"), F.sum("quantity").alias("weekly_quantity"), mean("line_total").alias("avg_order_value"))
+        m = o.groupBy("customer_key", "week_start").agg(
+            _sum("line_total").alias("weekly_spend"), _n("order_id").alias("weekly_orders"), F.sum("quantity").alias("weekly_quantity"), mean("line_total").alias("avg_order_value"),
+            F.datediff(F.lit(self.settings.as_of), F.max("order_date")).alias("days_since_last_order"),
+        )
+        so_far = Window.partitionBy("customer_key").orderBy("week_start").rowsBetween(Window.unboundedPreceding, 0)
+        m = m.withColumns({"lifetime_value": money(F.sum("weekly_spend").over(so_far)), "week_key": F.date_format("week_start", "yyyyMMdd").cast("int")})
+        return m.join(self.stg_customers.select("customer_key", F.col("segment").alias("customer_segment")), "customer_key", "left")
 
     @cached_property
     def monthly_product(self) -> DataFrame:
@@ -265,11 +281,13 @@ class Models:
         out = o.groupBy("month_start", "product_key").agg(
             F.sum("quantity").alias("units_sold"), _sum("line_total").alias("revenue"), _sum("cost_amount").alias("cost"), _sum("profit_amount").alias("profit"),
             ratio(F.sum("line_total"), F.sum("quantity")).alias("avg_selling_price"), mean("discount_percent").alias("discount_rate"), ratio(returned, F.count("*")).alias("open_rate"),
+            ratio(F.sum((F.col("return_flag") == "R").cast("bigint")), F.count("*")).alias("return_rate"), F.min("vendor_key").alias("vendor_key"),
         )
-        return out.join(self.stg_products.select("product_key", "product_name", "category_name"), "product_key", "left")
+        out = out.join(self.stg_products.select("product_key", "product_name", "category_name"), "product_key", "left")
+        return out.join(self.star.dim_vendor.select("vendor_key", F.col("name").alias("vendor_name")), "vendor_key", "left")
 
     @cached_property
     def vendor_performance(self) -> DataFrame:
         o = self.stg_orders.withColumn("month_start", month_start("order_date"))
-        out = o.groupBy("month_start", "vendor_key").agg(_n("order_id").alias("total_orders"), _sum("line_total").alias("total_revenue"), _sum("cost_amount").alias("total_cost"), _sum("profit_amount").alias("total_profit"), _n("product_key").alias("unique_products"))
+        out = o.groupBy("month_start", "vendor_key").agg(_n("order_id").alias("total_orders"), _sum("line_total").alias("total_revenue"), _sum("cost_amount").alias("total_cost"), _sum("profit_amount").alias("total_profit"), _n("product_key").alias("unique_products"), mean(F.datediff("ship_date", "order_date")).alias("avg_lead_days"))
         return out.join(self.star.dim_vendor.select("vendor_key", F.col("name").alias("vendor_name")), "vendor_key", "left")

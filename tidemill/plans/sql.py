@@ -95,11 +95,16 @@ CTE = star.SQL | {
     JOIN (SELECT k AS a_key, count(*) AS n FROM ordered GROUP BY 1) USING (a_key)) WHERE confidence_a_to_b >= 0.1""",
     "ordered": "SELECT DISTINCT order_id, brand AS k FROM enriched",
     "ltv_distribution": f"SELECT {case('lifetime_value', m.LTV_BUCKETS, '< $100')} AS ltv_bucket, count(*) AS customer_count, {mean('total_orders', 'avg_orders')}, {mean('days_since_last_order', 'avg_days_since_order')} FROM customer_metrics GROUP BY 1",
+    "ltv_distribution_scaled": f"SELECT {case('lifetime_value', m.LTV_SCALED, '< $50K')} AS ltv_bucket, count(*) AS customer_count, {mean('total_orders', 'avg_orders')}, {mean('days_since_last_order', 'avg_days_since_order')} FROM customer_metrics GROUP BY 1",
     "daily_summary": f"SELECT date_key, {total('line_total', 'total_amount')}, count(order_id) AS order_lines, count(DISTINCT customer_key) AS unique_customers FROM stg_orders GROUP BY 1",
-    "weekly_ltv": f"SELECT customer_key, cast(date_trunc('week', order_date) AS date) AS week_start, {total('line_total', 'weekly_spend')}, count(DISTINCT order_id) AS weekly_orders, {whole('quantity', 'weekly_quantity')}, {mean('line_total', 'avg_order_value')} FROM stg_orders GROUP BY 1, 2",
+    "weekly_ltv": f"""SELECT w.*, cast(sum(weekly_spend) OVER (PARTITION BY customer_key ORDER BY week_start) AS decimal(18,2)) AS lifetime_value, cast(strftime(week_start, '%Y%m%d') AS int) AS week_key, segment AS customer_segment
+  FROM (SELECT customer_key, cast(date_trunc('week', order_date) AS date) AS week_start, {total('line_total', 'weekly_spend')}, count(DISTINCT order_id) AS weekly_orders, {whole('quantity', 'weekly_quantity')}, {mean('line_total', 'avg_order_value')},
+    cast(date_diff('day', max(order_date), {AS_OF}) AS int) AS days_since_last_order FROM stg_orders GROUP BY 1, 2) w
+  LEFT JOIN stg_customers USING (customer_key)""",
     "monthly_product": f"""SELECT cast(date_trunc('month', date) AS date) AS month_start, product_key, product_name, category_name, {whole('quantity', 'units_sold')}, {total('line_total', 'revenue')}, {total('cost_amount', 'cost')}, {total('profit_amount', 'profit')},
-    {div('sum(line_total)', 'sum(quantity)')} AS avg_selling_price, {mean('discount_percent', 'discount_rate')}, {div("count(*) FILTER (order_status = 'P')", 'count(*)')} AS open_rate FROM enriched GROUP BY 1, 2, 3, 4""",
-    "vendor_performance": f"SELECT cast(date_trunc('month', date) AS date) AS month_start, vendor_key, vendor_name, count(DISTINCT order_id) AS total_orders, {total('line_total', 'total_revenue')}, {total('cost_amount', 'total_cost')}, {total('profit_amount', 'total_profit')}, count(DISTINCT product_key) AS unique_products FROM enriched GROUP BY 1, 2, 3",
+    {div('sum(line_total)', 'sum(quantity)')} AS avg_selling_price, {mean('discount_percent', 'discount_rate')}, {div("count(*) FILTER (order_status = 'P')", 'count(*)')} AS open_rate,
+    {div("count(*) FILTER (return_flag = 'R')", 'count(*)')} AS return_rate, min(vendor_key) AS vendor_key, (SELECT name FROM dim_vendor v WHERE v.vendor_key = min(enriched.vendor_key)) AS vendor_name FROM enriched GROUP BY 1, 2, 3, 4""",
+    "vendor_performance": f"SELECT cast(date_trunc('month', date) AS date) AS month_start, vendor_key, vendor_name, count(DISTINCT order_id) AS total_orders, {total('line_total', 'total_revenue')}, {total('cost_amount', 'total_cost')}, {total('profit_amount', 'total_profit')}, count(DISTINCT product_key) AS unique_products, {mean("date_diff('day', date, ship_date)", 'avg_lead_days')} FROM enriched GROUP BY 1, 2, 3",
 }
 
 
@@ -119,3 +124,14 @@ def query(body: str) -> str:
 
 def model(name: str) -> str:
     return query(f"SELECT * FROM {name}")
+
+
+def affinity(key: str, name: str, above: int) -> str:
+    """Pairs of products in more than ``above`` orders, as ``jobs.product_pairs`` gives them."""
+    return f"""SELECT product_a, product_b, co_occurrence_count, a.{name} AS name_a, a.category_name AS category_a, b.{name} AS name_b, b.category_name AS category_b, confidence_a_to_b,
+  {case('confidence_a_to_b', m.STRENGTH, 'Very Weak')} AS recommendation_strength, cast(a.category_name <> b.category_name AS int) AS cross_category
+FROM (SELECT product_a, product_b, co_occurrence_count, {div('co_occurrence_count', 'orders_a')} AS confidence_a_to_b
+  FROM (SELECT x.{key} AS product_a, y.{key} AS product_b, count(*) AS co_occurrence_count FROM (SELECT DISTINCT order_id, {key} FROM fact_orders) x JOIN (SELECT DISTINCT order_id, {key} FROM fact_orders) y
+    ON x.order_id = y.order_id AND x.{key} < y.{key} GROUP BY 1, 2 HAVING count(*) > {above})
+  JOIN (SELECT {key} AS product_a, count(DISTINCT order_id) AS orders_a FROM fact_orders GROUP BY 1) USING (product_a))
+JOIN stg_products a ON a.{key} = product_a JOIN stg_products b ON b.{key} = product_b"""

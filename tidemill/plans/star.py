@@ -43,6 +43,7 @@ class Star:
             F.col("l_suppkey").alias("vendor_key"), F.col("l_quantity").cast("bigint").alias("quantity"), F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"),
             F.col("l_discount").cast("decimal(5,2)").alias("discount_percent"), F.col("l_extendedprice").cast("decimal(12,2)").alias("gross_amount"),
             F.col("o_orderstatus").alias("order_status"), pay.otherwise("other").alias("payment_method"),
+            F.col("l_returnflag").alias("return_flag"), F.to_date("l_shipdate").alias("ship_date"),
         )
         df = df.withColumn("line_total", (F.col("gross_amount") * (F.lit(1).cast("decimal(5,2)") - F.col("discount_percent"))).cast("decimal(12,2)"))
         df = df.withColumns({
@@ -100,7 +101,7 @@ SQL = {
       FROM (SELECT l_orderkey AS order_id, l_linenumber AS line_number, cast(o_orderdate AS date) AS order_date, cast(strftime(o_orderdate, '%Y%m%d') AS int) AS date_key,
           o_custkey AS customer_key, l_partkey AS product_key, l_suppkey AS vendor_key, cast(l_quantity AS bigint) AS quantity, l_extendedprice / nullif(l_quantity, 0) AS unit_price,
           cast(l_discount AS decimal(5,2)) AS discount_percent, cast(l_extendedprice AS decimal(12,2)) AS gross_amount, o_orderstatus AS order_status,
-          CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'debit_card' WHEN '3-MEDIUM' THEN 'paypal' WHEN '4-NOT SPECIFIED' THEN 'cash' ELSE 'other' END AS payment_method
+          CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'debit_card' WHEN '3-MEDIUM' THEN 'paypal' WHEN '4-NOT SPECIFIED' THEN 'cash' ELSE 'other' END AS payment_method, l_returnflag AS return_flag, cast(l_shipdate AS date) AS ship_date
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey)))""",
     "dim_customer": """
   SELECT c_custkey AS customer_key, c_custkey AS customer_id, split_part(c_name, '#', 1) AS first_name, split_part(c_name, '#', 2) AS last_name, c_name AS full_name,

@@ -113,12 +113,19 @@ def _files(c: Context) -> list[tuple[str, str, int]]:
 
 
 def _load(c: Context, uris: list[str]) -> DataFrame:
-    """Each file with its own columns, united by name: files of one set of columns are read as one scan."""
+    """Each file with its own columns, united by name. With the option ``schema`` all files are one scan, in which
+    columns that a file lacks are null; Parquet without it is one scan too, whose schema Spark merges from all footers
+    in the cluster. Other formats are one scan for each set of columns, found file by file."""
     fmt = c.options.get("format", "parquet")
     read = c.spark.read.format(fmt).options(**({"header": "true", "inferSchema": "true"} if fmt == "csv" else {}))
     groups: dict[str, list[str]] = {}
-    for uri in uris:
-        groups.setdefault(read.load(uri).schema.simpleString(), []).append(uri)
+    if "schema" in c.options:
+        read, groups = read.schema(c.options["schema"]), {"": uris}
+    elif fmt == "parquet":
+        read, groups = read.option("mergeSchema", "true"), {"": uris}
+    else:
+        for uri in uris:
+            groups.setdefault(read.load(uri).schema.simpleString(), []).append(uri)
     frames = [read.load(u).withColumns({"_source_file": F.col("_metadata.file_name"), "_ingestion_time": F.lit(c.now).cast("timestamp_ntz")}) for u in groups.values()]
     out = frames[0]
     for f in frames[1:]:
@@ -200,6 +207,23 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, keys: list[str])
     return alive if target is None else target.join(last.select(*keys), keys, "left_anti").unionByName(alive, allowMissingColumns=True)
 
 
+def replay(state: DataFrame | None, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``apply_changes``, for batches that come in any order or again: the state keeps each key's position, and
+    deleted keys with ``_deleted`` set (see ``alive``), so that a change older than the state's is without effect."""
+    cols = [x for x in changes.columns if not x.startswith("_") and x not in keys]
+    rows = changes.select(*keys, "_lsn", (F.col("_change_type") == "delete").alias("_deleted"), *cols)
+    if state is not None:
+        rows = rows.unionByName(state, allowMissingColumns=True)
+    rest = [x for x in rows.columns if x not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r"))
+    return last.select(*keys, *(F.col(f"r.{x}").alias(x) for x in rest))
+
+
+def alive(state: DataFrame) -> DataFrame:
+    """The rows of a state of ``replay``."""
+    return state.where("not _deleted").drop("_lsn", "_deleted")
+
+
 def change_feed(c: Context):
     """Changes of a versioned table since the last version read: first everything, later its difference.
     Only a missing table is an empty source."""

@@ -1,19 +1,24 @@
 """A versioned Parquet table: atomic publish, time travel and a change feed, without a table format.
 
-A version is a manifest (JSON) of data folders. Data is written first; then the manifest is created under
+A version is a manifest (JSON) of data folders. Data is written first; then the manifest appears, whole, under
 the next number, which fails if somebody else has taken it. A crash in between leaves the old version in
-force, and readers never see a folder that is being written. An append adds a folder; an upsert by a
-partition column rewrites only the partitions that the source touches.
+force, and readers never see a folder or a manifest that is being written. An append adds a folder; an upsert by
+a partition column rewrites only the partitions that the source touches, or in which the target holds one of its
+keys, so that a key whose partition has changed leaves its old one. A partition goes by its value as text; null and
+the empty text are one.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.storage import publish
+
 CHANGES = ("insert", "update_preimage", "update_postimage", "delete")
 
 
@@ -55,26 +60,20 @@ class VersionedTable:
 
     def _commit(self, base: int | None, parts: list[dict], df: DataFrame) -> int:
         version = 0 if base is None else base + 1
-        self._fs.mkdirs(self._path(f"{self.path}/_log"))
-        final = self._path(f"{self.path}/_log/{version:010d}.json")
-        try:
-            out = self._fs.create(final, False)
-        except Exception as e:
-            if "already exists" in str(e):
-                raise Conflict(f"version {version} of {self.path} exists") from e
-            raise
-        out.write(bytearray(json.dumps({"parts": parts, "schema": df.schema.json()}).encode()))
-        out.close()
+        content = json.dumps({"parts": parts, "schema": df.schema.json()}).encode()
+        if not publish(self.spark, f"{self.path}/_log/{version:010d}.json", content):
+            raise Conflict(f"version {version} of {self.path} exists")
         return version
 
     def _write(self, df: DataFrame) -> list[dict]:
         folder = f"data/{uuid.uuid4().hex}"
         writer = df.write.mode("errorifexists")
         if self.partition:
-            copy = df.withColumn("_p", F.col(self.partition))
-            copy.write.partitionBy("_p").parquet(f"{self.path}/{folder}")
+            df.withColumn("_p", self._value()).write.partitionBy("_p").parquet(f"{self.path}/{folder}")
             found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.isDirectory()]
-            return [{"dir": f"{folder}/{n}", "p": n.partition("=")[2]} for n in found if n.startswith("_p=")]
+            values = {n: n.partition("=")[2] for n in found if n.startswith("_p=")}
+            # A folder's name spells its value with percent signs.
+            return [{"dir": f"{folder}/{n}", "p": None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)} for n, v in values.items()]
         writer.parquet(f"{self.path}/{folder}")
         return [{"dir": folder, "p": None}]
 
@@ -110,15 +109,21 @@ class VersionedTable:
         """Only rows whose keys the table doesn't hold."""
         return self.append(df.join(self.read().select(*keys), keys, "left_anti") if self.exists() else df)
 
-    def _replace(self, new: DataFrame, old: DataFrame, base: int, touched: set[str] | None) -> int:
+    def _value(self) -> Column:
+        """The partition of a row, as text."""
+        return F.nullif(F.col(self.partition).cast("string"), F.lit(""))
+
+    def _replace(self, new: DataFrame, old: DataFrame, base: int, touched: set[str | None] | None) -> int:
         parts = [p for p in self._manifest(base)["parts"] if touched is not None and p["p"] not in touched]
         return self._commit(base, parts + self._write(new), old)
 
-    def _touched(self, df: DataFrame) -> set[str] | None:
-        """Partitions of the source; their number is bounded by the table's partitions."""
+    def _touched(self, df: DataFrame, old: DataFrame, keys: list[str]) -> set[str | None] | None:
+        """Partitions of the source's rows and of the target's rows with its keys, of which only the key columns and the
+        partition are read. Their number is bounded by the table's partitions."""
         if not self.partition:
             return None
-        return {"__HIVE_DEFAULT_PARTITION__" if r[0] is None else r[0] for r in df.select(F.col(self.partition).cast("string")).distinct().collect()}
+        there = old.join(df.select(*keys), keys, "left_semi").select(self._value().alias("p"))
+        return {r[0] for r in df.select(self._value().alias("p")).union(there).distinct().collect()}
 
     def upsert(self, df: DataFrame, keys: list[str]) -> int:
         """Matched keys are replaced, others inserted. A key twice in the source is an error."""
@@ -128,9 +133,12 @@ class VersionedTable:
         check_unique(df, keys)
         if base is None:
             return self.overwrite(df)
-        touched, old = self._touched(df), self.read(base)
-        part = old if touched is None else old.where(F.col(self.partition).cast("string").isin([t for t in touched]) | F.col(self.partition).isNull())
-        return self._replace(merge_rows(part, df, keys), old.unionByName(df, allowMissingColumns=True), base, None if touched is None else touched | {"__HIVE_DEFAULT_PARTITION__"})
+        old = self.read(base)
+        touched, part = self._touched(df, old, keys), old
+        if touched is not None:
+            inside = F.coalesce(self._value().isin([t for t in touched if t is not None]), F.lit(False))
+            part = old.where(inside | self._value().isNull() if None in touched else inside)
+        return self._replace(merge_rows(part, df, keys), old.unionByName(df, allowMissingColumns=True), base, touched)
 
     def delete_insert(self, df: DataFrame, keys: list[str]) -> int:
         """Target rows whose key is in the source go, then all source rows come."""
@@ -150,6 +158,15 @@ class VersionedTable:
         return diff(self.read(since), self.read(to), keys)
 
 
+    def evolve(self, df: DataFrame) -> int:
+        """Append rows and take over their columns: new ones are added (null in old rows), those that ``df`` lacks go."""
+        base = self.version
+        if base is None:
+            return self.overwrite(df)
+        old = self.read(base).select(*(F.col(f.name) if f.name in self.read(base).columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+        return self._commit(base, self._write(old.unionByName(df)), df)
+
+
 def sync(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``df`` in the order of ``like``, new ones last, missing ones null."""
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema if f.name not in df.columns]

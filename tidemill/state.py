@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.storage import publish
+
 
 class _Files:
     """Small JSON files through Spark's file systems."""
@@ -20,9 +22,8 @@ class _Files:
         self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def put(self, name: str, value: dict) -> None:
-        out = self._fs.create(self._p(f"{self.path}/{name}"), False)
-        out.write(bytearray(json.dumps(value, default=str).encode()))
-        out.close()
+        if not publish(self.spark, f"{self.path}/{name}", json.dumps(value, default=str).encode()):
+            raise FileExistsError(f"{self.path}/{name}")
 
     def get(self, name: str) -> dict:
         stream = self._fs.open(self._p(f"{self.path}/{name}"))
@@ -33,7 +34,7 @@ class _Files:
 
     def names(self, folder: str = "") -> list[str]:
         p = self._p(f"{self.path}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+        return sorted(n for s in self._fs.listStatus(p) if not (n := s.getPath().getName()).startswith(".")) if self._fs.exists(p) else []
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._p(f"{self.path}/{name}"), True)

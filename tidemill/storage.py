@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -30,3 +31,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Make a file appear under its name with its whole content, or not at all; False if the name is taken.
+
+    The content is written under another name of the same folder first. On a local disk it then gets its name by
+    a hard link, elsewhere by a rename, neither of which replaces a file (as on HDFS; a store whose rename does
+    replace files can't keep two writers apart)."""
+    jvm = spark._jvm
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(final.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(content))
+    out.close()
+    try:
+        if fs.makeQualified(final).toUri().getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not fs.exists(final) and bool(fs.rename(draft, final))
+    finally:
+        fs.delete(draft, False)

@@ -12,12 +12,19 @@ from tidemill.sources.versioned import VersionedTable
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType, target: str, keys: list[str], order_by: str, checkpoint: str, fmt: str = "parquet"):
     """Take in all files that are there and stop. A batch's place is stored only after its upsert; a batch
-    that runs again upserts the same rows."""
+    that runs again upserts the same rows. A row older than the target's of its key (by ``order_by``, null being oldest)
+    is left out, in whatever batch it comes."""
     stream = spark.readStream.schema(schema).format(fmt).load(folder)
 
     def load(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            VersionedTable(spark, target).upsert(batch.transform(dedup(keys, order_by)), keys)
+        if batch.isEmpty():
+            return
+        table, rows = VersionedTable(spark, target), batch.transform(dedup(keys, order_by))
+        if table.exists():
+            have = table.read().select(*keys, F.col(order_by).alias("_have"))
+            newer = F.col("_have").isNull() | (F.col(order_by) >= F.col("_have"))
+            rows = rows.join(have, keys, "left").where(newer).drop("_have")
+        table.upsert(rows, keys)
 
     query = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
