@@ -619,6 +619,50 @@ def test_media_round_trip(spark, folder):
     assert got[4]["media_sha256"] == got[5]["media_sha256"] and got[4]["feature"] == got[5]["feature"]
 
 
+def test_media_tensor_is_the_picture_of_the_bytes(spark, monkeypatch):
+    m = op10_media
+    text = "".join(chr(i) for i in range(32, 1200))
+    rows = spark.createDataFrame([(1, text, "clash")], "doc_id long, text string, rgb string")
+    r = m.load(m.store(rows)).first()
+    payload = m.padded(text.encode())
+    assert bytes(r["payload"]) == payload
+    units = -(-len(payload) // 384)
+    data = np.zeros(units * 384, int)
+    data[: len(payload)] = list(payload)
+    coef = np.where(data >= 128, data, data - 255).reshape(units, 6, 64)
+    coef[:, :, 0] = data.reshape(units, 6, 64)[:, :, 0] + 256
+    assert (r["height"], r["width"]) == (16, 16 * units)
+    x = np.arange(8)
+    basis = np.cos((2 * x[None, :] + 1) * x[:, None] * np.pi / 16) / 2
+    basis[0] /= np.sqrt(2)
+    block = np.zeros((units, 6, 64))
+    block[:, :, m.ZIGZAG] = coef
+    pixels = np.clip(np.einsum("ux,nbuv,vy->nbxy", basis, block.reshape(units, 6, 8, 8), basis) + 128, 0, 255)
+    y = np.concatenate([np.block([[p[0], p[1]], [p[2], p[3]]]) for p in pixels], axis=1)
+    cb, cr = (np.concatenate([np.kron(p[k], np.ones((2, 2))) for p in pixels], axis=1) - 128 for k in (4, 5))
+    want = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2) + 0.5, 0, 255).astype(int)
+    got = np.frombuffer(bytes(r["rgb"]), np.uint8).reshape(r["height"], r["width"], 3)
+    assert np.abs(got - want).max() <= 1
+    assert np.allclose([r["red"], r["green"], r["blue"]], got.reshape(-1, 3).mean(0))
+    assert 0.2 < ((got > 0) & (got < 255)).mean()  # noise, not a saturated plane
+    # Symbol by symbol the scans give the same coefficients as taken apart at once.
+    fast = m.Picture(bytes(r["media"]))
+    monkeypatch.setattr(m.Picture, "_ac_alike", lambda *a: False)
+    slow = m.Picture(bytes(r["media"]))
+    assert all((a == b).all() for a, b in zip(fast.coef, slow.coef, strict=True))
+
+
+def test_media_of_very_long_payloads_keeps_within_the_format(monkeypatch):
+    m = op10_media
+    for size in (576, 100 << 20, 101 << 20, 2 << 30):
+        wide, high = m._layout(size)
+        assert wide * high * 384 >= size and 16 * wide <= 65535 and 16 * high <= 65535
+    monkeypatch.setattr(m, "_MCU_WIDE", 2)
+    monkeypatch.setattr(m, "_MCU_HIGH", 3)
+    raw = m.padded(bytes(range(256)) * 40)
+    assert m.Picture(m.encode(raw)).payload() == raw
+
+
 def _general_scans(coef, quant_one, wide, high):
     """A greyscale progressive JPEG of any coefficients, by the book: every symbol of 16 bits."""
     symbols = list(range(255))

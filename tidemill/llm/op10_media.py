@@ -1,11 +1,13 @@
 """Media columns: payloads kept losslessly in progressive JPEGs, decoded to full-resolution RGB tensors.
 
-A payload byte b is the quantised coefficient 256 + b of an 8 x 8 block (three components, 4:2:0, so
-4 + 1 + 1 blocks a unit), so every coefficient has the same magnitude class and nothing is lost: JPEG
-loses only in quantising, which is done by tables of ones here. The file is a progressive one: a DC scan
-by successive approximation (one first pass and a bit plane each pass), and for each component spectral
-bands of AC coefficients, each with a first pass and a refinement pass. A comment segment holds the
-number of payload bytes; padding beyond the payload is byte 0.
+A payload byte is one quantised coefficient of an 8 x 8 block (three components, 4:2:0, so 4 + 1 + 1 blocks a
+unit): 256 + b as the DC, and b (if 128 or more) or b - 255 as an AC coefficient, so that all AC coefficients
+have the same magnitude class, either sign, and mean 0. Nothing is lost: JPEG loses only in quantising, which is
+done by tables of ones here. The file is a progressive one: a DC scan by successive approximation (one first
+pass and a bit plane each pass), and for each component spectral bands of AC coefficients, each with a first
+pass and a refinement pass. A comment segment holds the number of payload bytes; padding beyond the payload is
+byte 0. A picture is 64 units wide, or as wide as it takes to keep its height within the format's limit (6.4 GB
+of payload; a Spark string holds at most 2 GB).
 
 The decoder accumulates the scans of any baseline-precision progressive JPEG with Huffman coding, no
 restart markers and the component count of a greyscale or colour picture into coefficient arrays. Scans in
@@ -19,6 +21,7 @@ are treated one by one, so ties, repeated rows and empty tables need no rule; ex
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ UNIT, PAD = 576, 255
 BANDS = ((1, 5), (6, 63))
 #: Order of a block's coefficients in a scan: index in the zigzag -> row * 8 + column.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (s := i // 8 + i % 8, i // 8 if s % 2 else i % 8)))
-_MCU_WIDE = 64  # units in a row of blocks
+_MCU_WIDE, _MCU_HIGH = 64, 4095  # units in a row of blocks, and rows at most
 _BASE = 256
 
 
@@ -55,17 +58,18 @@ def _table(kind: int, symbols: list[int]) -> bytes:
     return _segment(0xC4, bytes([kind, *counts, *symbols]))
 
 
-def _scan(components: list[int], first: int, last: int, high: int, low: int, bits: np.ndarray) -> bytes:
+def _scan(components: list[int], first: int, last: int, high: int, low: int, bits: np.ndarray | bytes) -> bytes:
+    """A scan of bits, or of whole bytes."""
     head = bytes([len(components), *(x for c in components for x in (c, 0)), first, last, high << 4 | low])
-    tail = (-len(bits)) % 8
-    data = np.packbits(np.concatenate([bits, np.ones(tail, np.uint8)])).tobytes()
-    return _segment(0xDA, head) + data.replace(b"\xff", b"\xff\x00")
+    if not isinstance(bits, bytes):
+        bits = np.packbits(np.concatenate([bits, np.ones((-len(bits)) % 8, np.uint8)])).tobytes()
+    return _segment(0xDA, head) + bits.replace(b"\xff", b"\xff\x00")
 
 
 def _layout(size: int) -> tuple[int, int]:
     """Units across and down for so many payload bytes (384 a unit)."""
     units = -(-size // 384)
-    wide = min(units, _MCU_WIDE)
+    wide = min(units, max(_MCU_WIDE, -(-units // _MCU_HIGH)))
     return wide, -(-units // wide)
 
 
@@ -86,10 +90,10 @@ def encode(payload: bytes) -> bytes:
     """A progressive JPEG whose coefficients hold the payload."""
     wide, high = _layout(len(payload))
     units = wide * high
-    data = np.zeros(units * 384, np.int32)
+    data = np.zeros(units * 384, np.uint8)
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
-    data = data.reshape(units, 6, 64) + _BASE
-    luma = np.empty((units * 4, 64), np.int32)
+    data = data.reshape(units, 6, 64)
+    luma = np.empty((units * 4, 64), np.uint8)
     luma[_orders(wide, high)] = data[:, :4].reshape(-1, 64)
     parts = [luma, data[:, 4], data[:, 5]]  # blocks in raster order, coefficients in zigzag order
     out = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", len(payload)))]
@@ -103,18 +107,16 @@ def encode(payload: bytes) -> bytes:
     out.append(_scan([1, 2, 3], 0, 0, 0, 8, extra))
     for low in range(7, -1, -1):
         out.append(_scan([1, 2, 3], 0, 0, low + 1, low, (dc >> low & 1).astype(np.uint8).ravel()))
-    # AC: first passes hold values of exactly 8 bits, refinements one bit a coefficient.
-    out.append(_table(0x10, [0x08]))
+    # AC: first passes hold values of exactly 7 bits behind a code of one, refinements one bit a coefficient.
+    out.append(_table(0x10, [0x07]))
     for c, blocks in enumerate(parts):
         for a, b in BANDS:
-            top = (blocks[:, a : b + 1] >> 1).astype(np.uint8)
-            coded = np.zeros((top.size, 9), np.uint8)
-            coded[:, 1:] = np.unpackbits(top.reshape(-1, 1), axis=1)
-            out.append(_scan([c + 1], a, b, 0, 1, coded.ravel()))
+            out.append(_scan([c + 1], a, b, 0, 1, (blocks[:, a : b + 1] >> 1).tobytes()))
     out.append(_table(0x10, [r << 4 for r in range(15)]))
     for c, blocks in enumerate(parts):
         for a, b in BANDS:
-            plane = (blocks[:, a : b + 1] & 1).astype(np.uint8)
+            plane = blocks[:, a : b + 1]
+            plane = plane & 1 ^ (plane < 128)  # the magnitude's last bit
             runs = [x for i in range(0, len(plane), 32767) for x in (_eob(min(32767, len(plane) - i)), plane[i : i + 32767].ravel())]
             out.append(_scan([c + 1], a, b, 1, 0, np.concatenate(runs)))
     out.append(b"\xff\xd9")
@@ -128,9 +130,13 @@ class _Bits:
     """The bits of one scan, by position."""
 
     def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8))
+        self.raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8)
         self.at = 0
 
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.raw)
+
     def take(self, n: int) -> int:
         if not n:
             return 0
@@ -270,20 +276,24 @@ class Picture:
             self.coef[c][place, 0] |= plane[:, k]
 
     def _ac_alike(self, c: int, a: int, b: int, low: int, bits: _Bits, codes: dict) -> bool:
-        """A first pass in which every coefficient has the table's only symbol, without a run of zeros."""
+        """A first pass in which every coefficient has the table's only symbol, without a run of zeros; taken apart as bytes
+        where each takes eight bits."""
         if len(codes) != 1:
             return False
         (length, code), symbol = next(iter(codes.items()))
         n, rows = symbol & 15, len(self.own[c])
         count = rows * (b - a + 1)
-        if symbol >> 4 or not n or length != 1 or len(bits.bits) < count * (n + 1):
-            return False
-        each = bits.bits[: count * (n + 1)].reshape(count, n + 1)
-        if (each[:, 0] != code).any():
+        if symbol >> 4 or not n or length != 1 or 8 * len(bits.raw) < count * (n + 1):
             return False
-        if n == 8:
-            value = np.packbits(each[:, 1:], axis=1).ravel().astype(np.int32)
+        if n == 7:
+            each = bits.raw[:count]
+            if (each >> 7 != code).any():
+                return False
+            value = (each & 127).astype(np.int32)
         else:
+            each = bits.bits[: count * (n + 1)].reshape(count, n + 1)
+            if (each[:, 0] != code).any():
+                return False
             value = each[:, 1:].astype(np.int32) @ (1 << np.arange(n - 1, -1, -1))
         value = np.where(value >> (n - 1), value, value - (1 << n) + 1)
         self.coef[c][self.own[c], a : b + 1] = (value << low).reshape(rows, -1)
@@ -364,7 +374,9 @@ class Picture:
         data = np.empty((units, 6, 64), np.int32)
         data[:, :4] = self.coef[0][_orders(self.mx, self.my)].reshape(units, 4, 64)
         data[:, 4], data[:, 5] = self.coef[1], self.coef[2]
-        return (data.reshape(-1)[:n] - _BASE).astype(np.uint8).tobytes()
+        data[:, :, 1:] += 255 * (data[:, :, 1:] < 0)
+        data[:, :, 0] -= _BASE
+        return data.astype(np.uint8).reshape(-1)[:n].tobytes()
 
     def rgb(self) -> np.ndarray:
         """The full-resolution tensor (height, width, 3) of 8-bit samples."""
@@ -446,12 +458,12 @@ def load(rows: DataFrame, media: str = "media", tensor: bool = True) -> DataFram
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = load(store(table(spark, sf_dir, "documents")), tensor=False)
+    found = load(store(table(spark, sf_dir, "documents")))
     tail = F.expr("substring(payload, -32, 32)")
     return found.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.format_string("%dx%d:%.3f,%.3f,%.3f", "height", "width", "red", "green", "blue").alias("feature"),
+        F.format_string("%dx%d:%.3f,%.3f,%.3f:%08x", "height", "width", "red", "green", "blue", F.crc32("rgb")).alias("feature"),
     )
 
 
