@@ -572,7 +572,7 @@ def test_lm_hashes_and_packed_columns(spark):
     for n in (0, 1, 1000):
         for x, y in zip(op8_lm_score.unpack(op8_lm_score.pack(key[:n], a[:n], b[:n]), "<u8", "<u2", "<f4"), (key[:n], a[:n], b[:n]), strict=True):
             assert (x == y).all() and len(x) == n
-    assert [k for k, *_ in op8_lm_score._ranges(key, 7)] == list(range(7))
+    assert [k for k, *_ in op8_lm_score.ranges_of(key, 7)] == list(range(7))
 
 
 def test_lm_gradient_is_the_slope_of_the_likelihood():

@@ -31,11 +31,23 @@ def _trim():
         return lambda _: None
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What a module's functions keep in a worker from task to task, until the worker runs another module's."""
+    return _KEPT.setdefault(module, {})
+
+
 def lean(run):
-    """A function of Arrow batches that gives freed memory back at its end: workers idle between stages hold little."""
+    """A function of Arrow batches that gives freed memory back at its end, and at its start what other modules' functions
+    have kept: workers idle between stages hold little."""
 
     @wraps(run)
     def go(batches):
+        for module, held in _KEPT.items():
+            if module != run.__module__:
+                held.clear()
         try:
             yield from run(batches)
         finally:

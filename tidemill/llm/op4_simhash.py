@@ -35,10 +35,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
+from tidemill.llm._packed import pack, ranges_of, unpack
 from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
 from tidemill.llm._text import U64, cut, mix
 
@@ -403,26 +405,72 @@ def _common(found: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(common, similarity: float):
-    """(h, node, n, pos) of each set's rarest shingles. Sets alike share ceil(similarity * n) shingles of the larger at
-    least, hence one of the n - ceil(similarity * n) + 1 that come first in any order that is the same for all."""
+#: Entries that a task holds before it packs them, and entries of a range of hashes.
+FLUSH = RANGE = 1 << 20
+_MARK = 0xFFFFFFFF
+
+
+def _prefixes(common, similarity: float, ranges: int):
+    """Each set's rarest shingles with node, size and place (pos). Sets alike share ceil(similarity * n) shingles of the
+    larger at least, hence one of the n - ceil(similarity * n) + 1 that come first in any order that is the same for
+    all. Rows (part, raw): shingles that several nodes of a task's share hold are known to be shared and go as part -1
+    - share; they send one mark, others their only entry, to their range of hashes. So a range gets at most one
+    entry of a shingle from each share, however many nodes hold it."""
 
     @lean
     def run(batches):
+        share, size = TaskContext.get().partitionId() << 24, 0
+        held: list[list[np.ndarray]] = []
+
+        def packed():
+            h, node, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((node, h))
+            h, node, n, pos = h[order], node[order], n[order], pos[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])  # a node's copies have the same entries
+            h, node, n, pos = h[new], node[new], n[new], pos[new]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            count = np.diff(np.append(first, len(h)))
+            many = np.repeat(count, count) > 1
+            parts, raws = [], []
+            if many.any():
+                parts.append(-1 - share)
+                raws.append(pack(h[many], node[many], n[many], pos[many]))
+            h, node, n, pos = h[first], node[first], n[first], np.where(count > 1, np.uint32(_MARK), pos[first]).astype("<u4")
+            for k, a, b in ranges_of(h, ranges):
+                parts.append(k)
+                raws.append(pack(h[a:b], node[a:b], n[a:b], pos[a:b]))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(raws, pa.binary())], names=["part", "raw"])
+
         for batch in batches:
-            held: list[list[np.ndarray]] = []
             for node, n, raw in zip(column(batch, "node").to_pylist(), column(batch, "n").to_pylist(), column(batch, "s"), strict=True):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
                 first = np.lexsort((s, common.value[s >> np.uint64(48)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
-                held.append([s[first].view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), n, np.int64), np.arange(len(first))])
-            if held:
-                h, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-                for a in range(0, len(h), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (h, *more)], names=["h", "node", "n", "pos"])
+                held.append([s[first], np.full(len(first), node, "<i8"), np.full(len(first), n, "<u4"), np.arange(len(first), dtype="<u4")])
+                size += len(first)
+                if size > FLUSH:
+                    yield packed()
+                    held, size, share = [], 0, share + 1
+        if size:
+            yield packed()
 
     return run
 
 
+def _shared(rows: pa.Table) -> pa.Table:
+    """(bin, node, n, pos) of the shingles of a part that several nodes hold."""
+    h, node, n, pos = (np.concatenate(x) for x in zip(*(unpack(x.as_buffer(), "<u8", "<i8", "<u4", "<u4") for c in rows["raw"].chunks for x in c), strict=True))
+    if rows["part"][0].as_py() >= 0:
+        order = np.lexsort((node, h))
+        h, node, n, pos = h[order], node[order], n[order], pos[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        several = (node[first] != node[first + size - 1]) | np.logical_or.reduceat(pos == _MARK, first)
+        keep = np.repeat(several, size) & (pos != _MARK)
+        h, node, n, pos = h[keep], node[keep], n[keep], pos[keep]
+    return pa.table({"bin": h.view(np.int64), "node": node.astype(np.int64), "n": n.astype(np.int64), "pos": pos.astype(np.int64)})
+
+
 def _may(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m shingles may be alike whose first common shingle is the pos-th and at-th: no more than
     what follows it can be shared. (Sets alike always meet in the bin of their first common shingle.)"""
@@ -499,13 +547,14 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     nodes = scratch.put("nodes", every.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.min("uid").alias("uid")))
 
     # Bins of the exact way: shingles that stand in the prefixes of several nodes.
-    common = spark.sparkContext.broadcast(_common(every))
-    prefix = scratch.put("prefixes", every.select("node", "n", "s").mapInArrow(_prefixes(common, similarity), "h long, node long, n long, pos long"))
-    shared = scratch.put("shared", prefix.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h"))
-    left = prefix.join(shared, "h", "left_semi").groupBy(F.col("h").alias("bin"), "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    left = scratch.put("bins", left)
-    scratch.drop("prefixes", "shared")
+    counts = _common(every)
+    common = spark.sparkContext.broadcast(counts)
+    ranges = 1 + int(counts.sum() * (1 - similarity)) // RANGE
+    packed = every.select("node", "n", "s").mapInArrow(_prefixes(common, similarity, ranges), "part long, raw binary")
+    shared = packed.groupBy("part").applyInArrow(_shared, "bin long, node long, n long, pos long")
+    left = scratch.put("bins", shared.groupBy("bin", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     scratch.release()
+
     def ends(some: DataFrame, *columns: str) -> DataFrame:
         """The pairs with these columns of both their nodes, of one row each."""
         both = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()

@@ -37,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import column, lean, new_path, slices, table, tune
+from tidemill.llm._spark import column, kept, lean, new_path, slices, table, tune
 
 END_ID = 2
 _INDEX, _SEEK, _FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-#: Distinct parts, and distinct runs in them, whose ids a worker remembers: the first ones, so common ones.
-REMEMBER = 800_000
+#: Bytes of distinct parts, and of distinct runs in them, with their ids and an allowance for each, that a worker
+#: remembers: the first ones, so common ones.
+REMEMBER, ENTRY = 80 << 20, 130
 #: Rows of a batch: the more, the fewer times a part is looked up.
 BATCH_ROWS = 3000
 #: Letters and marks whose runs the pre-tokenizer takes as one word, in lower case too. No apostrophe, and
@@ -72,6 +73,16 @@ class Encoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.parts: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.left = {"parts": REMEMBER, "runs": REMEMBER}
+
+    def _keep(self, which: str, new: dict) -> bool:
+        """Remember all of these, if there is room for them."""
+        size = sum(map(len, new)) + sum(map(len, new.values())) + ENTRY * len(new)
+        if size > self.left[which]:
+            return False
+        self.left[which] -= size
+        getattr(self, which).update(new)
+        return True
 
     def _ask(self, runs: list[str]) -> dict[str, bytes]:
         """The ids of runs that are one word each."""
@@ -94,8 +105,7 @@ class Encoder:
                 other.append((p, text))
         runs = self.runs
         fresh = self._ask(list({r for x in plain.values() for r in x if r not in runs}))
-        if len(runs) < REMEMBER:
-            runs.update(fresh)
+        if self._keep("runs", fresh):
             fresh = runs
         found = {p: b"".join([fresh[r] if r in fresh else runs[r] for r in x]) for p, x in plain.items()}
         for (p, _), got in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
@@ -110,8 +120,7 @@ class Encoder:
         got = list(map(self.parts.get, parts))
         if None in got:
             found = self._learn({p for p, g in zip(parts, got, strict=True) if g is None})
-            if len(self.parts) < REMEMBER:
-                self.parts.update(found)
+            self._keep("parts", found)
             got = [found[p] if g is None else g for p, g in zip(parts, got, strict=True)]
         flat = np.frombuffer(b"".join(got), self.kind)
         size = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
@@ -124,7 +133,7 @@ class Encoder:
         return ids, at[rows - rows[0]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept(__name__)
 
 
 def _encoder(path: str) -> Encoder:

@@ -47,7 +47,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
+from tidemill.llm._packed import pack, ranges_of, unpack
+from tidemill.llm._spark import Scratch, column, kept, lean, slices, table, tune
 from tidemill.llm._text import U64, cut, mix
 
 FOLDS, HELD = 7, 2
@@ -162,37 +163,6 @@ def _group(target: np.ndarray) -> np.ndarray:
     return np.where(target < HEAD, target // MEMBERS, target - HEAD + HEADS)
 
 
-# ---- packed columns --------------------------------------------------------------------------------
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, the first of ascending 64-bit numbers, byte plane by byte plane."""
-    first, *more = columns
-    planes = [np.diff(first, prepend=U64(0)), *more]
-    body = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in planes)
-    return struct.pack("<Q", len(first)) + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def unpack(raw, *kinds: str) -> list[np.ndarray]:
-    raw = bytes(raw)
-    n = struct.unpack_from("<Q", raw)[0]
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=max(1, n * sum(np.dtype(k).itemsize for k in kinds))), np.uint8)
-    out, at = [], 0
-    for k in kinds:
-        size = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(body[at : at + n * size].reshape(size, n).T).view(k).reshape(n))
-        at += n * size
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
-
-
-def _ranges(key: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of ascending keys: ranges of equal width of the keys' upper 32 bits."""
-    k = ((key >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
-    new = np.flatnonzero(np.diff(k, prepend=-1))
-    return list(zip(k[new].tolist(), new.tolist(), [*new[1:].tolist(), len(key)], strict=True))
-
-
 # ---- counting ------------------------------------------------------------------------------------
 
 
@@ -235,7 +205,7 @@ def _context_counts(vocabulary, ranges: int):
 
         def packed():
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            got = [(k, pack(key[a:b], n[a:b].astype("<u4"))) for k, a, b in _ranges(key, ranges)]
+            got = [(k, pack(key[a:b], n[a:b].astype("<u4"))) for k, a, b in ranges_of(key, ranges)]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["part", "raw"])
 
         for batch in batches:
@@ -427,7 +397,7 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
+_SCORERS: dict[str, Scorer] = kept(__name__)
 _ROWS = "part int, deal long, flush long, local int, doc_id long, n_tokens long, known long, base double, model double, rare array<struct<word:binary,n:long>>, raw binary"
 _KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])), pa.binary()]
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
@@ -454,7 +424,7 @@ def _score(vocabulary, weights, copies, key: str):
             pairs, local, log = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(pairs, kind="stable")
             pairs, local, log = pairs[order], local[order], log[order]
-            got = [(k, pack(pairs[a:b], local[a:b], log[a:b])) for k, a, b in _ranges(pairs, len(copies.value))]
+            got = [(k, pack(pairs[a:b], local[a:b], log[a:b])) for k, a, b in ranges_of(pairs, len(copies.value))]
             deal = [xxhash.xxh64_intdigest(struct.pack("<q", flush)) % copies.value[k] for k, _ in got]
             return _batch(len(got), part=pa.array([k for k, _ in got], pa.int32()), deal=pa.array(deal, pa.int64()), flush=flush, raw=pa.array([x for _, x in got], pa.binary()))
 

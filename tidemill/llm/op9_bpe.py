@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._spark import column, lean, slices, table, tune
+from tidemill.llm._spark import column, kept, lean, slices, table, tune
 
 #: Unicode white space, and the public pattern with it spelt out.
 _W = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 RUNS = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 SHORT = 64
-#: Runs whose ids a worker remembers.
-REMEMBER = 300_000
+#: Bytes of runs and their ids (and an allowance for each) that a worker remembers.
+REMEMBER, ENTRY = 48 << 20, 160
 _NONE = 1 << 60
 
 
@@ -68,6 +68,7 @@ class Bpe:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.known: dict[str, bytes] = {}
+        self.left = REMEMBER
 
     def piece(self, raw: bytes) -> list[int]:
         """The ids of one piece."""
@@ -114,8 +115,9 @@ class Bpe:
     def run(self, text: str) -> bytes:
         ids = [x for p in PATTERN.findall(text) for x in self.piece(p.encode())]
         out = np.array(ids, "<i4").tobytes()
-        if len(self.known) < REMEMBER:
+        if (size := len(text) + len(out) + ENTRY) <= self.left:
             self.known[text] = out
+            self.left -= size
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -139,7 +141,7 @@ class Bpe:
         return raw.decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[str, Bpe] = kept(__name__)
 
 
 def load(path: str) -> Bpe:
