@@ -52,7 +52,7 @@ from tidemill.llm._spark import Scratch, column, kept, lean, slices, table, tune
 from tidemill.llm._text import U64, cut, mix
 
 FOLDS, HELD = 7, 2
-HOT = 1 << 20
+HOT = 1 << 17
 HEADS, MEMBERS, TAILS = 32, 32, 32  # classes of common words, words in each; classes of all other words
 HEAD, CLASSES, SUBS = HEADS * MEMBERS, HEADS + TAILS, 1024
 PREV, SKIP = 128, 64
