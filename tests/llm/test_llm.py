@@ -171,6 +171,51 @@ def test_licenses(spark, sf, folder):
         assert got == want
 
 
+def brute_licenses(text):
+    """Labels of the method and the best share, from the definition: loops over all places."""
+    m = op2_license_scan
+    w = ALNUM.findall((text or "").translate(LOWER))
+    temps = [(label, re.findall(r"[0-9a-z]+", t.lower()), [p.split() for p in must]) for label, t, must in m.TEMPLATES]
+    df = Counter(x for _, t, _ in temps for x in set(t))
+    idf = {x: math.log((1 + len(temps)) / (1 + n)) for x, n in df.items()}
+    order = {x: i for i, x in enumerate(sorted(set(idf) | {x for p in m.PHRASES for x in p.split()}))}
+    labels, share = set(), 0.0
+    for label, t, must in temps:
+        rare = {x for x in t if idf[x] >= m.RARE * max(idf[y] for y in t)}
+        own = sorted(rare & set(w), key=lambda x: (-idf[x], order[x]))[: m.LOOKUP]
+        need = min(m.VOTES, len(rare))
+        if len(rare & set(w)) < need:
+            continue
+        for start in range(-len(t) + 1, len(w)):
+            inside = lambda j, s=start, t=t: 0 <= s + j < len(w) and w[s + j] == t[j]
+            if sum(any(inside(j) for j in range(len(t)) if t[j] == x) for x in own) < need:
+                continue
+            span = w[max(0, start) : start + len(t)]
+            if all(any(span[i : i + len(p)] == p for i in range(len(span))) for p in must):
+                labels.add(label)
+                share = max(share, sum(inside(j) for j in range(len(t))) / len(t))
+    base = {label for p, label in m.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    return ",".join(sorted(labels | base)), max(share, 0.5 if base else 0.0)
+
+
+def test_license_labels_equal_brute_force(spark, sf):
+    m = op2_license_scan
+    rnd = random.Random(4)
+    texts = [t for _, t, _ in m.TEMPLATES]
+    rows = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r["text"] and len(r["text"]) < 2000][:40]
+    for t in texts:
+        w = t.split()
+        rows += [f"// {t}", "a b c " + " ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :]), " ".join(x if rnd.random() < 0.9 else "changed" for x in w)]
+        rows.append(" ".join(rnd.sample(w, len(w))))
+    rows += [f"{m.TEMPLATES[1][1]} and {m.TEMPLATES[15][1]} and {m.TEMPLATES[4][1]}", "", None, "the software " * 50]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (",".join(r["labels"]), r["score"]) for r in m.scan(docs).collect()}
+    want = {i: brute_licenses(t) for i, t in enumerate(rows)}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+    assert {x for labels, _ in got.values() for x in labels.split(",")} >= {label for label, _, _ in m.TEMPLATES}
+
+
 def test_license_templates_are_found_in_place_only(spark):
     full = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     docs = spark.createDataFrame([(1, "x " + full), (2, " ".join(reversed(full.split()))), (3, "granted software copy of permission")], "doc_id long, text string")

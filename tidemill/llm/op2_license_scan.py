@@ -1,11 +1,12 @@
 """License scans by a positional index of rare words.
 
-Each template is a short passage of a public licence with the phrases that must stand in it. A word's
-inverse document frequency is taken over the templates; the rare words of each template (those with the
-highest values, see ``RARE``) form the index, with their positions as postings. For each file the rare
-words it holds are looked up, every posting votes for the place where its template would start (file
-position less template position), and places with enough agreeing rare words are candidates. A candidate
-counts if all mandatory phrases of the template stand within it, word by word.
+Templates are the texts of public licences and the notices that refer to them, each with the phrases that must
+stand in it. A word's inverse document frequency is taken over the templates. For each file and each template
+whose rare words (see ``RARE``) it holds enough of, the file's own ``LOOKUP`` rare words of the highest frequency value
+are looked up: their postings in the template, taken from their places in the file, each give a place where
+the template would start, and places that enough different words agree on are candidates. A candidate counts
+if all mandatory phrases of the template stand within it, word by word. No template is left out for lack of
+look-ups, however many licences a file holds.
 
 Besides, the base phrases are found wherever their words stand consecutively; their labels are always
 kept. ``score`` is the largest share of a template's words that stand at their positions, at least 0.5
@@ -19,47 +20,36 @@ columns are ignored. All words of a text are looked at, however long it is.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm._licences import TEMPLATES
 from tidemill.llm._spark import column, lean, slices, table, tune
 from tidemill.llm._text import ALNUM, word_hash, word_hashes, words
 
 #: phrase -> label
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, passage, mandatory phrases). The wording of public licence notices.
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license"]),
-    ("apache", "licensed under the apache license version 2 0", ["apache license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ["gnu general public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", ["gnu lesser general public license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
-]
 #: Rare words of a template: those whose idf is within this share of the template's highest.
 RARE = 0.6
-#: Least number of distinct rare words that agree on a place (fewer if the template has fewer).
-VOTES = 2
+#: Words of a file that are looked up for a template, and least number of different ones that agree on a place (fewer
+#: if the template has fewer rare words).
+LOOKUP, VOTES = 12, 2
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z]+", text.lower())
 
 
 class Licenses:
     """The vocabulary of templates and phrases, the postings of rare words, and the phrases as word ids."""
 
     def __init__(self, templates=TEMPLATES, phrases=None):
-        texts = [t.split() for _, t, _ in templates]
+        texts = [_words(t) for _, t, _ in templates]
         self.labels = [label for label, _, _ in templates]
         self.phrases = [(p.split(), label) for p, label in (PHRASES if phrases is None else phrases).items()]
         vocabulary = sorted({x for t in texts for x in t} | {x for p, _ in self.phrases for x in p})
@@ -76,16 +66,14 @@ class Licenses:
         for t in self.templates:
             df[np.unique(t)] += 1
         idf = np.array([math.log((1 + len(texts)) / (1 + x)) for x in df])
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        self.need = []
+        self.idf = idf
+        #: Whether a word (column) is rare in a template (row), and the words' places in each template.
+        self.rare = np.zeros((len(texts), len(vocabulary)), bool)
         for k, t in enumerate(self.templates):
-            rare = {int(x) for x in t if idf[x] >= RARE * idf[t].max()}
-            self.need.append(min(VOTES, len(rare)))
-            for at, x in enumerate(t.tolist()):
-                if x in rare:
-                    self.postings.setdefault(x, []).append((k, at))
-        self.rare = np.zeros(len(vocabulary) + 1, bool)
-        self.rare[list(self.postings)] = True
+            self.rare[k, [x for x in t if idf[x] >= RARE * idf[t].max()]] = True
+        self.any = np.append(self.rare.any(0), False)  # -1 is no word
+        self.need = np.minimum(VOTES, self.rare.sum(1))
+        self.postings = [{x: np.flatnonzero(t == x) for x in np.unique(t).tolist()} for t in self.templates]
 
     def ids(self, w) -> np.ndarray:
         """The vocabulary id of each word, -1 for others; equal hashes are checked byte by byte."""
@@ -99,12 +87,19 @@ class Licenses:
         return out
 
     def candidates(self, ids: np.ndarray):
-        """(template, place) with enough distinct rare words that agree on where the template starts."""
-        votes: dict[tuple[int, int], set[int]] = {}
-        for at in np.flatnonzero(self.rare[ids]).tolist():
-            for k, offset in self.postings[int(ids[at])]:
-                votes.setdefault((k, at - offset), set()).add(int(ids[at]))
-        return [x for x, who in votes.items() if len(who) >= self.need[x[0]]]
+        """(template, place) on which enough of the file's rarest words agree that the template starts there."""
+        at = np.flatnonzero(self.any[ids])
+        held = np.unique(ids[at])
+        for k in np.flatnonzero(self.rare[:, held].sum(1) >= self.need).tolist() if len(held) else ():
+            own = held[self.rare[k, held]]
+            own = own[np.lexsort((own, -self.idf[own]))][:LOOKUP]
+            places = []
+            for x in own.tolist():
+                here = at[ids[at] == x]
+                places.append(np.unique(here[:, None] - self.postings[k][x][None, :]))
+            place, votes = np.unique(np.concatenate(places), return_counts=True)
+            for start in place[votes >= self.need[k]].tolist():
+                yield k, start
 
     def match(self, ids: np.ndarray):
         """(label, share of words in place, first word) of each verified template."""
