@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import os
 from functools import cache, wraps
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,11 @@ ROW_GROUP = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep the batches that Python workers hold small, whatever the length of the texts."""
+    """Keep the batches that Python workers hold small, whatever the length of the texts, and let workers find this
+    package where the driver has found it. The batch settings are the session's: they hold when a plan runs."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

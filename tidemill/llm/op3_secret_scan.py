@@ -74,7 +74,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", com
     per = judged.groupBy("k", "rid").agg(F.sort_array(F.collect_set(span)).alias("found"))
     base = F.concat(*BASE)
     out = rows.select("doc_id", "k", "rid", *(F.size(b).cast("long").alias(f"n_{b}") for b in BASE), F.sha2(_joined(base), 256).alias("base_sha256"))
-    return out.join(per, ["k", "rid"], "left").drop("k")
+    return scratch.last("secrets", out.join(per, ["k", "rid"], "left").drop("k"))
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:

@@ -223,7 +223,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
     """Encode ``text`` and write files into ``folder``; (path, documents, tokens) of each, in doc_id order."""
     spark = docs.sparkSession
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     @lean
     def run(batches):
@@ -251,8 +250,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    files = dealt.mapInArrow(run, "part long, path string, documents long, tokens long").collect()
-    tune(spark)
+    rows_of = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_of)
+    spark.conf.set(rows_of, str(BATCH_ROWS))
+    try:
+        files = dealt.mapInArrow(run, "part long, path string, documents long, tokens long").collect()
+    finally:
+        spark.conf.set(rows_of, before)
     return [(r.path, r.documents, r.tokens) for r in sorted(files, key=lambda r: r.part)]
 
 
