@@ -15,7 +15,7 @@ from tidemill.operators import history, merge, quality, transforms, vault
 from tidemill.plans import jobs, sql
 from tidemill.plans.models import Models
 from tidemill.plans.star import Star
-from tidemill.sources import strategies
+from tidemill.sources import sinks, strategies
 from tidemill.sources.versioned import VersionedTable
 from tidemill.state import Cursor
 from tidemill.storage import new_path
@@ -48,9 +48,12 @@ def _model(name: str, attribute: str | None = None) -> None:
     _QUERIES[name], _SQL[name] = run, sql.model(attribute or name)
 
 
-for _name in ("stg_orders", "stg_customers", "stg_products", "stg_dates", "customer_metrics", "product_metrics", "sales_daily", "customer_enriched", "product_enriched", "monthly_financials",
+for _name in ("customer_metrics", "product_metrics", "sales_daily", "customer_enriched", "product_enriched", "monthly_financials",
               "customer_cohort", "customer_rfm", "product_affinity", "ltv_distribution", "ltv_distribution_scaled", "daily_summary", "weekly_ltv", "monthly_product", "vendor_performance"):
     _model(_name)
+for _name, _source in (("stg_orders", "fact_orders"), ("stg_customers", "dim_customer"), ("stg_products", "dim_product"), ("stg_dates", "dim_date")):
+    _QUERIES[_name] = lambda s, d, n=_name, t=_source: _models(s, d).audited(n, t)
+    _SQL[_name] = sql.query(f"SELECT *, {LOAD} AS load_date, 'olap.{_source}' AS record_source FROM {_name}")
 _QUERIES["orders_enriched"], _SQL["orders_enriched"] = lambda s, d: _models(s, d).orders_enriched, sql.model("enriched")
 
 
@@ -547,6 +550,35 @@ def rule_email(spark: SparkSession, folder: str) -> DataFrame:
     return good.where(F.array_contains("_warnings", "email_email")).select("customer_id")
 
 
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'other' END AS size_name FROM part")
+def map_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return Star(spark, folder).table("part").select("p_partkey", scalars.lookup(F.col("p_size") % 3, {0: "small", 1: "medium"}, "other").alias("size_name"))
+
+
+@query("SELECT order_key, customer_key, segment FROM fact_orders LEFT JOIN stg_customers USING (customer_key)")
+def enrich_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """A lookup in a view of the catalog, by its name."""
+    m = _models(spark, folder)
+    m.register_views()
+    return m.star.fact_orders.select("order_key", "customer_key").transform(transforms.enrich("stg_customers", "customer_key", ["segment"]))
+
+
+@query("SELECT margin_category, count(*) AS n FROM stg_products GROUP BY 1")
+def staging_views(spark: SparkSession, folder: str) -> DataFrame:
+    _models(spark, folder).register_views()
+    return spark.sql("SELECT margin_category, count(*) AS n FROM stg_products GROUP BY 1")
+
+
+@query("SELECT cast(ts AS date) AS date, event_type, count(*) AS n, cast(sum(cast(value AS decimal(18,4))) AS decimal(18,2)) AS total FROM events GROUP BY 1, 2")
+def event_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written as JSON lines by day, in two batches, and read back."""
+    e, at = Star(spark, folder).table("events"), new_path(spark, "events")
+    for k in range(2):
+        sinks.json_lines(e.where(F.col("event_id") % 2 == k), at, "ts", 1000)
+    back = spark.read.schema("event_id long, event_type string, value double, date date").json(at)
+    return back.groupBy("date", "event_type").agg(F.count("*").alias("n"), scalars.money(F.sum(F.col("value").cast("decimal(18,4)"))).alias("total"))
+
+
 # ---- tests of the vault ----
 
 

@@ -79,3 +79,9 @@ def date_parts(date: str) -> dict[str, Column]:
 
 def email_ok(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).rlike(EMAIL)
+
+
+def lookup(value: str | Column, table: dict, other: object = None) -> Column:
+    """The value's entry in a small table given as a dict, else ``other``."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[c], F.lit(other))

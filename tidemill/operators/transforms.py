@@ -39,12 +39,14 @@ def size_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def enrich(lookup: DataFrame, key: str | list[str], columns: list[str], broadcast: bool = False, check: bool = False):
-    """LEFT lookup of some columns. A hint to broadcast is followed only for a lookup of a bounded size."""
+def enrich(lookup: DataFrame | str, key: str | list[str], columns: list[str], broadcast: bool = False, check: bool = False):
+    """LEFT lookup of some columns, from a frame or a table of the session's catalog. A hint to broadcast is followed only
+    for a lookup of a bounded size."""
     keys = [key] if isinstance(key, str) else key
 
     def run(df: DataFrame) -> DataFrame:
-        side = lookup.select(*keys, *(c for c in columns if c not in keys))
+        rows = df.sparkSession.table(lookup) if isinstance(lookup, str) else lookup
+        side = rows.select(*keys, *(c for c in columns if c not in keys))
         if check and not side.groupBy(*keys).count().where("count > 1").isEmpty():
             raise DuplicateKey(f"the lookup holds a key of {keys} more than once")
         if broadcast and size_of(side) <= BROADCAST_BYTES:

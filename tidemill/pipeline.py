@@ -128,7 +128,9 @@ class Pipeline:
     def _load(self, d: Definition, df: DataFrame) -> None:
         t = VersionedTable(self.spark, d.target)
         if d.mode == "merge":
+            updated = t.matches(df, list(d.keys))
             t.upsert(df, list(d.keys))
+            self.metrics.count("delta.lake.rows.updated", updated, table=d.target)
         elif d.mode == "delete_insert":
             t.delete_insert(df, list(d.keys))
         elif d.mode == "overwrite":

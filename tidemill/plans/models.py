@@ -80,6 +80,16 @@ class Models:
     def stg_dates(self) -> DataFrame:
         return self.star.dim_date.withColumns({"quarter_label": F.concat(F.lit("Q"), F.col("quarter").cast("string")), "calendar_year": F.year("date"), "calendar_month": F.month("date"), "day_of_week_num": F.weekday("date") + 1})
 
+    def audited(self, name: str, source: str) -> DataFrame:
+        """A staging model with when it was loaded and from where."""
+        when = F.lit(self.settings.as_of).cast("timestamp_ntz")
+        return getattr(self, name).withColumns({"load_date": when, "record_source": F.lit(f"olap.{source}")})
+
+    def register_views(self) -> None:
+        """Temporary views of the staging models, by their names."""
+        for name in ("stg_orders", "stg_customers", "stg_products", "stg_dates"):
+            getattr(self, name).createOrReplaceTempView(name)
+
     # ---- intermediate ----
 
     @cached_property

@@ -2,7 +2,8 @@
 
 Derived, documented stand-ins: unit cost is (40 + size) percent of the retail price (the line's cost 60
 percent of its gross amount), tier by account balance, payment method by order priority, holidays are
-1 January and 25 December, e-mail from the name, missing for every fiftieth customer.
+1 January and 25 December, the fiscal year is the calendar's, e-mail from the name, missing for every fiftieth
+customer, tax id from the vendor's key.
 """
 
 from __future__ import annotations
@@ -74,11 +75,12 @@ class Star:
             F.col("p_partkey").alias("product_key"), F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("sku"),
             F.col("p_type").alias("category_name"), F.concat_ws("/", "p_type", "p_brand").alias("category_path"), F.col("p_brand").alias("brand"),
             price.alias("price"), cost.alias("cost"), F.try_divide((price - cost).cast("double"), price.cast("double")).alias("margin"), F.lit("active").alias("status"), F.lit(1).alias("is_current"),
+            F.concat_ws(", ", "p_name", "p_type", "p_brand").alias("description"),
         )
 
     @cached_property
     def dim_vendor(self) -> DataFrame:
-        return self.table("supplier").select(F.col("s_suppkey").alias("vendor_key"), F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("name"), F.lit("active").alias("status"), F.lit(1).alias("is_current"))
+        return self.table("supplier").select(F.col("s_suppkey").alias("vendor_key"), F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("name"), F.lit("active").alias("status"), F.lit(1).alias("is_current"), F.concat(F.lit("TX"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("tax_id"))
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -87,6 +89,7 @@ class Star:
         d = days.withColumns(date_parts("date"))
         return d.select(
             F.date_format("date", "yyyyMMdd").cast("int").alias("date_key"), "date", "year", "quarter", "month", "day", "day_of_week", "year_month", "year_quarter",
+            F.date_format("date", "EEEE").alias("day_name"), F.date_format("date", "MMMM").alias("month_name"), F.col("year").alias("fiscal_year"), F.col("quarter").alias("fiscal_quarter"),
             (F.col("day_of_week") >= 6).cast("int").alias("is_weekend"), F.date_format("date", "MM-dd").isin("01-01", "12-25").cast("int").alias("is_holiday"),
         )
 
@@ -111,12 +114,13 @@ SQL = {
   FROM customer LEFT JOIN (SELECT o_custkey, cast(min(o_orderdate) AS date) AS registration_date FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
     "dim_product": """
   SELECT p_partkey AS product_key, p_partkey AS product_id, p_name AS name, cast(p_partkey AS varchar) AS sku, p_type AS category_name, concat_ws('/', p_type, p_brand) AS category_path, p_brand AS brand,
-    price, cost, cast(price - cost AS double) / nullif(cast(price AS double), 0) AS margin, 'active' AS status, 1 AS is_current
+    price, cost, cast(price - cost AS double) / nullif(cast(price AS double), 0) AS margin, 'active' AS status, 1 AS is_current, concat_ws(', ', p_name, p_type, p_brand) AS description
   FROM (SELECT *, cast(price * cast(p_size + 40 AS decimal(5,0)) * cast('0.01' AS decimal(3,2)) AS decimal(10,2)) AS cost FROM (SELECT *, cast(p_retailprice AS decimal(10,2)) AS price FROM part))""",
-    "dim_vendor": "SELECT s_suppkey AS vendor_key, s_suppkey AS vendor_id, s_name AS name, 'active' AS status, 1 AS is_current FROM supplier",
+    "dim_vendor": "SELECT s_suppkey AS vendor_key, s_suppkey AS vendor_id, s_name AS name, 'active' AS status, 1 AS is_current, 'TX' || lpad(cast(s_suppkey AS varchar), 8, '0') AS tax_id FROM supplier",
     "dim_date": """
   SELECT cast(strftime(date, '%Y%m%d') AS int) AS date_key, date, cast(year(date) AS int) AS year, cast(quarter(date) AS int) AS quarter, cast(month(date) AS int) AS month, cast(day(date) AS int) AS day,
-    cast(isodow(date) AS int) AS day_of_week, strftime(date, '%Y-%m') AS year_month, year(date) || '-Q' || quarter(date) AS year_quarter, cast(isodow(date) >= 6 AS int) AS is_weekend,
+    cast(isodow(date) AS int) AS day_of_week, strftime(date, '%Y-%m') AS year_month, year(date) || '-Q' || quarter(date) AS year_quarter,
+    dayname(date) AS day_name, monthname(date) AS month_name, cast(year(date) AS int) AS fiscal_year, cast(quarter(date) AS int) AS fiscal_quarter, cast(isodow(date) >= 6 AS int) AS is_weekend,
     cast(strftime(date, '%m-%d') IN ('01-01', '12-25') AS int) AS is_holiday
   FROM (SELECT cast(unnest(generate_series(min(o_orderdate), max(o_orderdate), interval 1 day)) AS date) AS date FROM orders)""",
 }

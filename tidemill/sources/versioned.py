@@ -140,6 +140,12 @@ class VersionedTable:
             part = old.where(inside | self._value().isNull() if None in touched else inside)
         return self._replace(merge_rows(part, df, keys), old.unionByName(df, allowMissingColumns=True), base, touched)
 
+    def matches(self, df: DataFrame, keys: list[str]) -> int:
+        """How many of the table's rows an upsert would update."""
+        from tidemill.operators.merge import matched
+
+        return matched(self.read(), df, keys).count() if self.exists() else 0
+
     def delete_insert(self, df: DataFrame, keys: list[str]) -> int:
         """Target rows whose key is in the source go, then all source rows come."""
         base = self.version
