@@ -9,7 +9,9 @@ meets every linked pair. Rows are dealt by that pair of keys; within a bin the d
 verified by their exact distance and tied to each other by a spanning forest, never by all pairs.
 Components of the verified links are found in the cluster by alternating stars.
 
-Equal fingerprints are one node, so copies of any number cost one row per fingerprint after counting.
+Equal fingerprints are one node, so copies of any number cost one row per fingerprint after counting. A bin holds
+different fingerprints alone, so a group of near copies fills it with as many rows as it has patterns of changed bits
+(at most some 700,000 of four bits or fewer around one text), not with its documents.
 
 ``similar`` joins documents by the exact similarity (Jaccard) of their sets of word shingles. Documents of equal
 sets are one node. First the nodes' fingerprints go through the same keys, bins and distance, and each node is
