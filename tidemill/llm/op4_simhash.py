@@ -364,56 +364,67 @@ def _i64(x: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
+_SKETCH = "doc_id long, rid long, node long, n long, f0 long, b binary, part int"
+
+
 def _sketches(shingle: int):
-    """doc_id, rid, node (XXH64 of the set), n (its size), f0 (its fingerprint), b (its parities) and the set's bytes."""
+    """doc_id, rid, node (XXH64 of the set), n (its size), f0 (its fingerprint) and b (its parities). After a task's rows come
+    16 with a part each of how often shingles of each bucket (the hash's first 16 bits) stand in its sets (as b)."""
 
     @lean
     def run(batches):
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 got = shingle_sets(column(part, "text"), shingle)
+                total += np.bincount(np.concatenate([*got, np.zeros(0, np.uint64)]) >> U64(48), minlength=1 << 16)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id"), column(part, "rid"), _i64([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in got]), pa.array([len(s) for s in got], pa.int64()), _i64([majority(s) for s in got]), pa.array([parity(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())],
-                    names=["doc_id", "rid", "node", "n", "f0", "b", "s"],
+                    [column(part, "doc_id"), column(part, "rid"), _i64([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in got]), pa.array([len(s) for s in got], pa.int64()), _i64([majority(s) for s in got]), pa.array([parity(s) for s in got], pa.binary()), pa.nulls(len(got), pa.int32())],
+                    names=["doc_id", "rid", "node", "n", "f0", "b", "part"],
                 )
+        none = pa.nulls(16, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([x.tobytes() for x in total.reshape(16, -1)], pa.binary()), pa.array(range(16), pa.int32())], names=["doc_id", "rid", "node", "n", "f0", "b", "part"])
 
     return run
 
 
-def _common(found: DataFrame) -> np.ndarray:
-    """How often shingles of each bucket (the hash's first 16 bits) stand in the sets: 2^16 numbers, whatever the corpus."""
-
-    @lean
-    def count(batches):
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for s in column(batch, "s"):
-                total += np.bincount(np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(48), minlength=1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in total.reshape(16, -1)], pa.binary())], names=["part", "raw"])
+def _common(parts: DataFrame) -> np.ndarray:
+    """The sums of all tasks' counts: 2^16 numbers, whatever the corpus."""
 
     @lean
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, raw in zip(column(batch, "part").to_pylist(), column(batch, "raw"), strict=True):
+            for k, raw in zip(column(batch, "part").to_pylist(), column(batch, "b"), strict=True):
                 total[k] = total.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "b"])
 
-    schema = "part int, raw binary"
     out = np.zeros((16, 1 << 12), np.int64)
-    for r in found.select("s").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema).collect():
-        out[r["part"]] = np.frombuffer(bytes(r["raw"]), np.int64)
+    for r in parts.repartition(16, "part").mapInArrow(add, "part int, b binary").collect():
+        out[r["part"]] = np.frombuffer(bytes(r["b"]), np.int64)
     return out.ravel()
 
 
+def _sets(shingle: int):
+    """node and the bytes of its set, from its text."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 19):
+                yield pa.RecordBatch.from_arrays([column(part, "node"), pa.array([s.tobytes() for s in shingle_sets(column(part, "text"), shingle)], pa.binary())], names=["node", "s"])
+
+    return run
+
+
 #: Entries that a task holds before it packs them, and entries of a range of hashes.
 FLUSH = RANGE = 1 << 20
 _MARK = 0xFFFFFFFF
 
 
-def _prefixes(common, similarity: float, ranges: int):
-    """Each set's rarest shingles with node, size and place (pos). Sets alike share ceil(similarity * n) shingles of the
+def _prefixes(shingle: int, common, similarity: float, ranges: int):
+    """Each text's rarest shingles with node, size and place (pos). Sets alike share ceil(similarity * n) shingles of the
     larger at least, hence one of the n - ceil(similarity * n) + 1 that come first in any order that is the same for
     all. Rows (part, raw): shingles that several nodes of a task's share hold are known to be shared and go as part -1
     - share; they send one mark, others their only entry, to their range of hashes. So a range gets at most one
@@ -445,11 +456,12 @@ def _prefixes(common, similarity: float, ranges: int):
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(raws, pa.binary())], names=["part", "raw"])
 
         for batch in batches:
-            for node, n, raw in zip(column(batch, "node").to_pylist(), column(batch, "n").to_pylist(), column(batch, "s"), strict=True):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                first = np.lexsort((s, common.value[s >> np.uint64(48)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
-                held.append([s[first], np.full(len(first), node, "<i8"), np.full(len(first), n, "<u4"), np.arange(len(first), dtype="<u4")])
-                size += len(first)
+            for part in slices(batch, "text", 1 << 19):
+                for s in shingle_sets(column(part, "text"), shingle):
+                    n, node = len(s), np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)
+                    first = np.lexsort((s, common.value[s >> U64(48)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    held.append([s[first], np.full(len(first), node, "<i8"), np.full(len(first), n, "<u4"), np.arange(len(first), dtype="<u4")])
+                    size += len(first)
                 if size > FLUSH:
                     yield packed()
                     held, size, share = [], 0, share + 1
@@ -543,25 +555,30 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    every = rows.mapInArrow(_sketches(shingle), "doc_id long, rid long, node long, n long, f0 long, b binary, s binary")
-    every = scratch.put("sketches", every.withColumn("uid", F.monotonically_increasing_id()))
+    every = scratch.put("sketches", rows.mapInArrow(_sketches(shingle), _SKETCH).withColumn("uid", F.monotonically_increasing_id()))
+    counts = _common(every.where("part is not null").select("part", "b"))
+    every = every.where("part is null")
     found = every.select("doc_id", "rid", "node")
     nodes = scratch.put("nodes", every.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.min("uid").alias("uid")))
 
     # Bins of the exact way: shingles that stand in the prefixes of several nodes.
-    counts = _common(every)
     common = spark.sparkContext.broadcast(counts)
     ranges = 1 + int(counts.sum() * (1 - similarity)) // RANGE
-    packed = every.select("node", "n", "s").mapInArrow(_prefixes(common, similarity, ranges), "part long, raw binary")
+    packed = rows.select("text").mapInArrow(_prefixes(shingle, common, similarity, ranges), "part long, raw binary")
     shared = packed.groupBy("part").applyInArrow(_shared, "bin long, node long, n long, pos long")
     left = scratch.put("bins", shared.groupBy("bin", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     scratch.release()
 
     def ends(some: DataFrame, *columns: str) -> DataFrame:
-        """The pairs with these columns of both their nodes, of one row each."""
+        """The pairs with these columns (n and b, or the set s) of both their nodes, of one row each."""
         both = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()
         asked = scratch.put("asked", both.join(nodes, "node").select("uid"))
-        told = scratch.put("ends", every.join(asked, "uid", "left_semi").select("node", *columns))
+        told = every.join(asked, "uid", "left_semi")
+        if columns == ("s",):
+            stand = scratch.put("stand", told.select("node", F.col("doc_id").alias("stand_id"), F.col("rid").alias("stand_rid")))
+            same = F.col("doc_id").eqNullSafe(F.col("stand_id")) & (F.col("rid") == F.col("stand_rid"))
+            told = rows.join(stand, same).select("node", "text").mapInArrow(_sets(shingle), "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
+        told = scratch.put("ends", told.select("node", *columns))
         for x in "uv":
             some = some.join(told.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in columns)), x)
         return some
@@ -570,7 +587,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         near = scratch.put("near", ends(some, "n", "b").mapInArrow(_near(similarity), "u long, v long"))
         scratch.drop("asked", "ends")
         found = scratch.put(name, ends(near, "s").select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u long, v long"))
-        scratch.drop("asked", "ends", "near")
+        scratch.drop("asked", "stand", "ends", "near")
         scratch.release()
         return found
 
