@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.storage import delete, new_path
 
@@ -95,6 +96,16 @@ class Scratch:
         return df
 
 
+#: Bytes of rows that are sent to all executors where a join may choose.
+SMALL = 32 << 20
+
+
+def bounded(df: DataFrame, row: int) -> DataFrame:
+    """A written table of rows of at most ``row`` bytes, to be broadcast if all its rows, which are counted, are at most
+    ``SMALL`` bytes; else the join deals both sides."""
+    return F.broadcast(df) if df.count() * row <= SMALL else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

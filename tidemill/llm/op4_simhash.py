@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
 from tidemill.llm._packed import pack, ranges_of, unpack
-from tidemill.llm._spark import Scratch, column, lean, slices, table, tune
+from tidemill.llm._spark import Scratch, bounded, column, lean, slices, table, tune
 from tidemill.llm._text import U64, cut, mix
 
 SHINGLE, BITS, DISTANCE, SEED = 4, 64, 4, 42
@@ -573,11 +573,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         """The pairs with these columns (n and b, or the set s) of both their nodes, of one row each."""
         both = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()
         asked = scratch.put("asked", both.join(nodes, "node").select("uid"))
-        told = every.join(asked, "uid", "left_semi")
+        told = every.join(bounded(asked, 16), "uid", "left_semi")
         if columns == ("s",):
             stand = scratch.put("stand", told.select("node", F.col("doc_id").alias("stand_id"), F.col("rid").alias("stand_rid")))
             same = F.col("doc_id").eqNullSafe(F.col("stand_id")) & (F.col("rid") == F.col("stand_rid"))
-            told = rows.join(stand, same).select("node", "text").mapInArrow(_sets(shingle), "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
+            told = rows.join(bounded(stand, 40), same).select("node", "text").mapInArrow(_sets(shingle), "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
         told = scratch.put("ends", told.select("node", *columns))
         for x in "uv":
             some = some.join(told.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in columns)), x)
