@@ -310,3 +310,15 @@ def test_what_only_tests_call(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert table(spark.table("windows").select("k", "n", "total")) == [(1, 1, 2.0), (2, 1, 3.0)]
+
+
+def test_files_of_a_committed_run_move_to_the_archive(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("k,v\n1,x\n")
+    c = strategies.Context(spark, Tenant("t"), "t", {"path": f"file://{tmp_path}/in", "format": "csv"}, None, NOW)
+    df, cursor = strategies.landing(c)
+    assert table(df.select("k", "v")) == [(1, "x")]
+    strategies.archive(c, cursor, f"file://{tmp_path}/done")
+    assert not (tmp_path / "in/a.csv").exists() and (tmp_path / "done/a.csv").read_text() == "k,v\n1,x\n"
+    c.cursor = cursor
+    assert strategies.landing(c)[0].columns == []
