@@ -70,12 +70,12 @@ def _scan(window: int):
                 raw = w.buf.tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(*_ends(w), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, rid, pa.nulls(len(ids), pa.int64()), pa.array(n.astype(np.int64)), pa.array(sha, pa.string())], names=["doc_id", "rid", "gram", "n_words", "sha"])
-                every = anchors(h, fits(w, window), half, window)
+                every, sums = anchors(h, fits(w, window), half, window), Windows(h)
                 for a in range(0, len(every), _ROWS):
                     at = every[a : a + _ROWS]
                     row = pa.array(np.searchsorted(w.row, at, "right") - 1)
                     pos = _i64((at - w.row[row.to_numpy()]).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([ids.take(row), rid.take(row), _i64(Windows(h).of(at, half)), pos, pa.nulls(len(at), pa.string())], names=["doc_id", "rid", "gram", "n_words", "sha"])
+                    yield pa.RecordBatch.from_arrays([ids.take(row), rid.take(row), _i64(sums.of(at, half)), pos, pa.nulls(len(at), pa.string())], names=["doc_id", "rid", "gram", "n_words", "sha"])
 
     return run
 

@@ -24,7 +24,6 @@ import io
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -317,10 +316,6 @@ def roundtrip(raw: list[tuple[int | None, np.ndarray]], kind: str = "<u2") -> by
     return out.getvalue()
 
 
-def crc32(raw: bytes) -> int:
-    return zlib.crc32(raw)
-
-
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
