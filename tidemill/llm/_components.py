@@ -16,7 +16,7 @@ def _star(scratch: Scratch, pairs: DataFrame, name: str) -> DataFrame:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(u, root) for every node of ``edges`` (u, v; u > v) that isn't itself its component's smallest node."""
     edges = scratch.put("edges0", edges.select("u", "v").distinct())
-    state, k = None, 0
+    k = 0
     while True:
         k += 1
         # Large star: neighbours larger than u move to the smallest of u and its neighbours.
@@ -28,9 +28,10 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         least = _star(scratch, large, f"small{k}")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = scratch.put(f"edges{k}", moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"edges{k - 1}", f"edges{k}l", f"large{k}", f"small{k}")
         edges = new
-        if now == state:
+        # Done once every node hangs on one root alone, which hangs on none.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+        if ends.groupBy("x").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 or c > 0 and r > 0").isEmpty():
             return edges.select("u", F.col("v").alias("root"))
-        state = now

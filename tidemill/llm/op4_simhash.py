@@ -594,7 +594,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     tried = _proposed(scratch, nodes)
     links = settle("links0", tried)
     root = components(scratch, links)
-    many, k = 1, 0
+    many, k = 4, 0
     while True:
         k += 1
         tied = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
@@ -618,7 +618,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
             break
         if k > 1:
             scratch.drop(f"stars{k - 1}")
-        many = min(16 * many, 512)
+        many = min(16 * many, 1024)
     return scratch.last("similar", _grouped(scratch, found, nodes, root, ["node"]).select("doc_id", "rid", "root", "component_id"))
 
 
