@@ -42,7 +42,7 @@ END_ID = 2
 _INDEX, _SEEK, _FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of distinct parts, and of distinct runs in them, with their ids and an allowance for each, that a worker
 #: remembers: the first ones, so common ones.
-REMEMBER, ENTRY = 80 << 20, 130
+REMEMBER, ENTRY = 112 << 20, 130
 #: Rows of a batch: the more, the fewer times a part is looked up.
 BATCH_ROWS = 3000
 #: Letters and marks whose runs the pre-tokenizer takes as one word, in lower case too. No apostrophe, and
