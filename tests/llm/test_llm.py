@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -632,6 +633,46 @@ def test_lm_gradient_is_the_slope_of_the_likelihood():
     assert np.allclose(np.exp(w.words(context)).sum(-1), 1) and np.allclose(np.exp(w.classes(context)).sum(-1), 1)
 
 
+def test_lm_training_takes_little_of_the_driver(spark, sf, monkeypatch):
+    m, rnd = op8_lm_score, np.random.default_rng(4)
+    n = rnd.integers(0, 9, (m.CONTEXTS, m.CLASSES)) * (rnd.random((m.CONTEXTS, 1)) < 0.1)
+    by_prev, by_skip = rnd.integers(0, 9, m.PREV * m.HEAD), rnd.integers(0, 9, m.SKIP * m.HEAD)
+    head = rnd.integers(0, 9, m.HEAD).astype(float)
+    start = lambda: m.Weights(n.sum(0).astype(float), head)
+    want, at = start(), np.flatnonzero(n.any(1))
+    for _ in range(2):
+        got = m.gradient(want, at, n[at])
+        for x, have in zip(m.NAMES, (None, None, None, by_prev, by_skip), strict=True):
+            old, g = getattr(want, x), got[x + "g"]
+            g = g if have is None else have.reshape(g.shape) - g
+            setattr(want, x, old + np.clip((g - m.RIDGE * old) / (3 * (got[x + "h"] + m.RIDGE)), -1.0, 1.0))
+
+    sent, casts = [], []
+    rows = spark.sparkContext.parallelize([(-1 - i, bytearray(x.tobytes())) for i, x in enumerate(np.split(n, m.PARTS))], m.PARTS)
+    counts = spark.createDataFrame(rows, "part int, raw binary")
+    frame, context = type(counts), type(spark.sparkContext)
+    collect, arrow, broadcast = frame.collect, frame.toArrow, context.broadcast
+
+    def size(got, column):
+        sent.append(sum(len(x) for x in column(got)))
+        return got
+
+    def cast(*args):
+        casts.append(broadcast(*args))
+        return casts[-1]
+
+    monkeypatch.setattr(context, "broadcast", cast)
+    with monkeypatch.context() as patch:
+        patch.setattr(frame, "collect", lambda df: size(collect(df), lambda got: [r["raw"] for r in got]))
+        patch.setattr(frame, "toArrow", lambda df: size(arrow(df), lambda got: got["raw"].to_pylist()))
+        w = m.train(counts, start(), by_prev, by_skip, 2)
+    for x in m.NAMES:
+        assert np.allclose(getattr(w, x), getattr(want, x), atol=1e-4)
+    assert len(sent) == 2 and max(sent) < 14 << 20  # with each task's whole arrays: 29 MB
+    m.score(spark.createDataFrame([(x, t) for x, t, *_ in documents(spark, sf)], "doc_id long, text string"), ~m.held_out(), 1)
+    assert len(casts) == 6 and not any(os.path.exists(x._path) for x in casts)  # none is left to the garbage collector
+
+
 def test_bpe_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok, ours, rnd = Tokenizer.from_file(path), op9_bpe.load(path), random.Random(1)

@@ -34,6 +34,7 @@ Ties in rank go by the word's hash. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import struct
 import uuid
@@ -335,8 +336,19 @@ def gradient(w: Weights, context: np.ndarray, n: np.ndarray) -> dict[str, np.nda
     return out
 
 
+def _rows(name: str, first: int) -> tuple[int, int]:
+    """From and to which row of a weight the slice of contexts that begins at ``first`` adds: those of its contexts, of
+    its previous words, or all."""
+    if name == "c12":
+        return first, first + CONTEXTS // PARTS
+    return (first // SKIP, (first + CONTEXTS // PARTS) // SKIP) if name in ("c1", "w1") else (0, SKIP)
+
+
 def train(counts: DataFrame, w: Weights, by_prev: np.ndarray, by_skip: np.ndarray, updates: int = UPDATES) -> Weights:
-    """counts: (part, raw), the class counts of each slice of contexts; by_prev, by_skip: head words after each bucket."""
+    """counts: (part, raw), the class counts of each slice of contexts; by_prev, by_skip: head words after each bucket.
+
+    The driver's memory is the same for any corpus, and small: a task sends the rows of its slices alone, as Arrow
+    buffers, and an update's broadcast ends with it."""
     spark = counts.sparkSession
     have = {"w1": by_prev.reshape(PREV, HEADS, MEMBERS), "w2": by_skip.reshape(SKIP, HEADS, MEMBERS)}
     size = CONTEXTS // PARTS
@@ -345,28 +357,25 @@ def train(counts: DataFrame, w: Weights, by_prev: np.ndarray, by_skip: np.ndarra
 
         @lean
         def run(batches, now=now):
-            total: dict[str, np.ndarray] = {}
+            total: dict[tuple[str, int], np.ndarray] = {}
             for batch in batches:
                 for part, raw in zip(column(batch, "part").to_pylist(), column(batch, "raw"), strict=True):
                     n = np.frombuffer(raw.as_buffer(), np.int64).reshape(size, CLASSES)
                     first = (-1 - part) * size
                     at = np.flatnonzero(n.any(1))
-                    got = gradient(now.value, first + at, n[at])
-                    for k in ("c12g", "c12h"):  # a slice's own
-                        got[f"{k}{first}"] = got.pop(k)[first : first + size]
-                    for k, x in got.items():
-                        total[k] = total[k] + x if k in total else x
+                    for k, x in gradient(now.value, first + at, n[at]).items():
+                        a, b = _rows(k[:-1], first)
+                        total[k, a] = total[k, a] + x[a:b] if (k, a) in total else x[a:b]
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.astype("<f4").tobytes() for v in total.values()], pa.binary())], names=["name", "raw"])
+                names, starts = zip(*total, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(starts, pa.int32()), pa.array([v.astype("<f4").tobytes() for v in total.values()], pa.binary())], names=["name", "at", "raw"])
 
         sums = {x + k: np.zeros(getattr(w, x).shape) for x in NAMES for k in ("g", "h")}
-        for r in counts.mapInArrow(run, "name string, raw binary").collect():  # some 2 MB a task, PARTS tasks at most
-            x = np.frombuffer(bytes(r["raw"]), "<f4")
-            if r["name"].startswith("c12"):
-                sums[r["name"][:4]][int(r["name"][4:]) :][:size] += x.reshape(size, CLASSES)
-            else:
-                sums[r["name"]] += x.reshape(sums[r["name"]].shape)
-        now.unpersist()
+        got = counts.mapInArrow(run, "name string, at int, raw binary").toArrow()  # some 1 MB a task, PARTS tasks at most
+        for k, a, raw in zip(got["name"].to_pylist(), got["at"].to_pylist(), (x for c in got["raw"].chunks for x in c), strict=True):
+            x = np.frombuffer(raw.as_buffer(), "<f4").reshape(-1, *sums[k].shape[1:])
+            sums[k][a : a + len(x)] += x
+        now.destroy()
         for x in NAMES:
             g, h = sums[x + "g"], sums[x + "h"]
             if x in have:
@@ -499,6 +508,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
 
 
+def _release(scratch: Scratch) -> None:
+    """Delete the shuffles of what has been written, once neither Python's wrappers of those plans, which may stand in
+    cycles, nor the driver's JVM hold them."""
+    gc.collect()
+    scratch.release()
+
+
 def score(docs: DataFrame, train_on: Column, updates: int = UPDATES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     spark = docs.sparkSession
@@ -527,6 +543,7 @@ def score(docs: DataFrame, train_on: Column, updates: int = UPDATES) -> DataFram
         both = np.frombuffer(bytes(parts.where(F.col("part") == -1 - PARTS).first()["raw"]), np.int64)
         by_prev, by_skip = both[: PREV * HEAD], both[PREV * HEAD :]
         dense = scratch.put("classes", parts.where((F.col("part") < 0) & (F.col("part") > -1 - PARTS)).select("part", "raw").repartition(PARTS, "part"))
+        _release(scratch)
         head = vocabulary.value.seen()
         by_class = np.concatenate([head.reshape(HEADS, MEMBERS).sum(1), 10**vocabulary.value.log_class])
         weights = spark.sparkContext.broadcast(train(dense, Weights(by_class, head), by_prev, by_skip, updates))
@@ -539,17 +556,23 @@ def score(docs: DataFrame, train_on: Column, updates: int = UPDATES) -> DataFram
         pairs = parts.where("part >= 0").select("part", F.col("raw").alias("feature"), deal)
         found = pairs.groupBy("part", "deal").cogroup(found.groupBy("part", "deal")).applyInArrow(_answer, _ROWS)
     found = scratch.put("scored", found.withColumn("uid", F.shiftleft("flush", 16) + F.col("local")))
+    if n:
+        scratch.drop("parts", "classes")
     rare = found.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", F.col("r.n").alias("tf"))
     more = rare.join(counts.withColumnRenamed("n", "c"), "word")
     more = more.groupBy("uid").agg(F.sum("tf").alias("k2"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("s2"))
-    gain = found.where("raw is not null").select("flush", "raw").groupBy("flush").applyInArrow(_sum, "uid long, gain double")
+    gain = scratch.put("gain", found.where("raw is not null").select("flush", "raw").groupBy("flush").applyInArrow(_sum, "uid long, gain double"))
+    _release(scratch)  # not right after the table before, whose shuffles (the largest) were then seen to stay
     k2, s2 = F.coalesce("k2", F.lit(0)), F.coalesce("s2", F.lit(0.0))
     out = found.where("local is not null").join(more, "uid", "left").join(gain, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("known") + k2).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + s2 - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
         (F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
-    return scratch.last("scores", out)
+    out = scratch.last("scores", out)
+    for x in filter(None, (vocabulary, weights, copies)):  # the result stands in its table
+        x.destroy()
+    return out
 
 
 def _common(counts: DataFrame) -> DataFrame:
